@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pastglass.operators.profile import place
+
 
 def brier(p: Column, y: Column) -> Column:
     """Mean squared error."""
@@ -81,11 +83,20 @@ def auc(rows: DataFrame, part: list[str], p: str, y: str) -> DataFrame:
 
 
 def two_sample_ks(counts: DataFrame, part: list[str], value: str, left: str, right: str) -> DataFrame:
-    """(part, ks) from counts of each value on either side; evaluated at distinct values."""
-    w = Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*part)
-    d = F.abs(F.sum(left).over(w) / F.sum(left).over(whole) - F.sum(right).over(w) / F.sum(right).over(whole))
-    return counts.withColumn("__d", d).groupBy(*part).agg(F.max("__d").alias("ks"))
+    """(part, ks) from counts of each distinct finite value on either side; null if a side is empty.
+
+    Cumulative counts are taken in order-preserving blocks and over the blocks, so no part is sorted as a whole.
+    """
+    rows = counts.withColumn("__b", place(F.col(value)))
+    blocks = rows.groupBy(*part, "__b").agg(F.sum(left).alias("__sl"), F.sum(right).alias("__sr"))
+    whole, over = Window.partitionBy(*part), Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    blocks = blocks.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(part)], F.col("__b").alias("__kb"), F.coalesce(F.sum("__sl").over(over), zero).alias("__al"), F.coalesce(F.sum("__sr").over(over), zero).alias("__ar"), F.sum("__sl").over(whole).alias("__nl"), F.sum("__sr").over(whole).alias("__nr"))
+    inside = Window.partitionBy(*part, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__il", F.sum(left).over(inside)).withColumn("__ir", F.sum(right).over(inside))
+    met = rows.join(blocks, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(part)] + [F.col("__b") == F.col("__kb")])
+    d = F.abs((F.col("__al") + F.col("__il")) / F.nullif(F.col("__nl"), zero) - (F.col("__ar") + F.col("__ir")) / F.nullif(F.col("__nr"), zero))
+    return met.groupBy(*part).agg(F.max(d).alias("ks"))
 
 
 def stability_index(rows: DataFrame, value: str, side: str, parts: int = 10) -> DataFrame:
