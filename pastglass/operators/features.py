@@ -17,7 +17,8 @@ def deltas(deliveries: DataFrame, record: list[str], version: str, entities: dic
     in the order of a hash of the row. entities: {kind: id column}; a null id or event type makes no delta. A null
     value adds nothing to the total. Records with a null in their key are never superseded.
     """
-    rows = deliveries.select(*record, version, *entities.values(), period, value, event_type.alias("__type")) if not set(entities.values()) & set(record) else deliveries.select(*dict.fromkeys([*record, version, *entities.values(), period, value]), event_type.alias("__type"))
+    needed = list(dict.fromkeys([*record, version, *entities.values(), period, value]))
+    rows = deliveries.select(*needed, event_type.alias("__type"))
     whole = F.xxhash64(*[c for c in rows.columns if c not in record])
     if blk is not None:
         rows = rows.withColumn("__blk", blk).repartition(F.col(record[0]), F.col("__blk"))
@@ -33,6 +34,19 @@ def deltas(deliveries: DataFrame, record: list[str], version: str, entities: dic
     return rows.select("entity_kind", "entity_id", "event_type", "period", F.col("__sign").cast("long").alias("d_count"), (F.col("__sign") * F.col("__v")).alias("d_total"))
 
 
+def later_deltas(live: DataFrame, arrived: DataFrame, record: list[str], version: str, entities: dict[str, str], event_type: Column, period: str, value: str) -> DataFrame:
+    """The deltas of deliveries that arrived after the state was built; live: the delivery that counted of each record.
+
+    Only live rows of records that came again are read. Their own inserts are in the state already, so these are
+    taken back before the records' deliveries are compared anew; an older version that came late changes nothing.
+    """
+    touched = arrived.select(*record).distinct()
+    old = live.join(touched, record, "left_semi").select(*arrived.columns)
+    anew = deltas(old.unionByName(arrived), record, version, entities, event_type, period, value)
+    counted = deltas(old, record, version, entities, event_type, period, value)
+    return anew.unionByName(counted.withColumn("d_count", -F.col("d_count")).withColumn("d_total", -F.col("d_total")))
+
+
 def merge_state(state: DataFrame | None, changes: DataFrame) -> DataFrame:
     """The kept state (KEY, period, n, total) with deltas added; rows that came to nothing are dropped."""
     adds = changes.select(*KEY, "period", F.col("d_count").alias("n"), F.col("d_total").alias("total"))

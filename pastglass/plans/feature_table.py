@@ -7,7 +7,8 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastglass.operators.features import deltas, features, merge_state, one_row_each
+from pastglass.operators.deliveries import latest
+from pastglass.operators.features import deltas, features, later_deltas, merge_state, one_row_each, refresh
 from pastglass.plans.attributes import PITCHES_SQL
 from pastglass.sources.tables import table
 
@@ -38,6 +39,17 @@ def entity_features(spark: SparkSession, folder: str) -> DataFrame:
     return features(merge_state(None, changes)).withColumn("event_type", name(F.col("event_type")))
 
 
+def p5_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    """The features of the deliveries until 2024, brought up to date by the deltas of those since."""
+    train, since = table(spark, folder, "train"), F.lit("2024-01-01").cast("timestamp_ntz")
+    early, late = train.filter(F.col("loaded_at") < since), train.filter(F.col("loaded_at") >= since)
+    what = (["pitcher_id", "asof_pitcher_n"], "loaded_at", {"pitcher": "pitcher_id", "batter": "batter_id"}, code(), "season", "control_success")
+    state = merge_state(None, deltas(early, *what, F.floor(F.col("asof_pitcher_n") / BLOCK)))
+    changes = later_deltas(latest(early, "pitcher_id", "asof_pitcher_n", "loaded_at", BLOCK).drop("__blk"), late, *what)
+    out = refresh(features(state), merge_state(state, changes), changes)
+    return out.withColumn("event_type", name(F.col("event_type"))).withColumnsRenamed({"n": "pitches", "total": "successes", "last_period": "last_season"})
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Entities and event types with two or more pitches and no success."""
     return entity_features(spark, folder).filter((F.col("n") >= 2) & (F.col("total") == 0)).select("entity_kind", "entity_id", "event_type")
@@ -62,5 +74,6 @@ f AS (SELECT entity_kind, entity_id, balls_before || '-' || strikes_before || '|
 SQL = {
     "p5_found": _LONG + "SELECT entity_kind, entity_id, event_type FROM f WHERE pitches >= 2 AND successes = 0",
     "p5_long": _LONG + "SELECT * FROM f",
+    "p5_refresh": _LONG + "SELECT * FROM f",
 }
-QUERIES = {"p5_found": p5_found, "p5_long": p5_long, "p5_features": p5_features}
+QUERIES = {"p5_found": p5_found, "p5_long": p5_long, "p5_refresh": p5_refresh, "p5_features": p5_features}
