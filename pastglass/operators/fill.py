@@ -63,7 +63,7 @@ def fill(rows: DataFrame, *, group: list[str], order: str, blk: str, fields: dic
         known = F.coalesce(F.col(f).isin(names), F.lit(False))
         for i, level in enumerate(names):
             marks[f"{f}__{i}"] = F.when(known, (F.col(f) == F.lit(level)).cast("double"))
-    parts = [a for f, v in marks.items() for a in (F.sum(v).alias(f"s_{f}"), F.count(v).alias(f"c_{f}"), F.count(F.when(v.isNull(), 1)).alias(f"m_{f}"), F.min(F.when(v.isNotNull(), F.col(order))).alias(f"f_{f}"))]
+    parts = [a for f, v in marks.items() for a in (F.coalesce(F.sum(v), F.lit(0.0)).alias(f"s_{f}"), F.count(v).alias(f"c_{f}"), F.count(F.when(v.isNull(), 1)).alias(f"m_{f}"), F.min(F.when(v.isNotNull(), F.col(order))).alias(f"f_{f}"))]
     blocks = rows.groupBy(*group, blk).agg(*parts)
     whole = [a for f in marks for a in ((F.sum(f"s_{f}") / F.nullif(F.sum(f"c_{f}"), F.lit(0))).alias(f"g_{f}"), F.min(f"f_{f}").alias(f"e_{f}"))]
     groups = blocks.groupBy(*group).agg(*whole).select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(group)], *[f"{p}_{f}" for f in marks for p in ("g", "e")])
