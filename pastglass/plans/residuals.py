@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pastglass.functions import scalars as S
@@ -12,12 +12,16 @@ from pastglass.plans.trials import PRED, TRIALS, predictions, trials
 
 LEVELS = [R.Level("a", ("a",), ("all",)), R.Level("b", ("b",), ("all",)), R.Level("ac", ("a", "ctx"), ("a",)), R.Level("bc", ("b", "ctx"), ("b",)), R.Level("ab", ("a", "b"), ("a", "b"))]
 SPEC = [R.Correction("hand", ("bhand",), 2000.0), R.Correction("count", ("a", "ctx"), 500.0), R.Correction("leverage", ("a", "lev"), 2000.0)]
-LEV = F.when(F.col("strikes") > F.col("balls"), 0).when(F.col("balls") > F.col("strikes") + 1, 2).otherwise(1)
+
+
+def lev() -> Column:
+    """Leverage of the count: 0 ahead, 2 well behind, else 1."""
+    return F.when(F.col("strikes") > F.col("balls"), 0).when(F.col("balls") > F.col("strikes") + 1, 2).otherwise(1)
 
 
 def residuals(spark: SparkSession, folder: str) -> DataFrame:
     """Residuals of the blend on the R segment before 2024, centred per season."""
-    pr = predictions(spark, folder).withColumn("lev", LEV)
+    pr = predictions(spark, folder).withColumn("lev", lev())
     return R.centred(pr.filter((F.col("seg") == "R") & (F.col("period") < 2024)), F.col("y") - F.col("p"), ["period"])
 
 
@@ -38,7 +42,7 @@ def i13_interaction(spark: SparkSession, folder: str) -> DataFrame:
 
 def i14_corrections(spark: SparkSession, folder: str) -> DataFrame:
     """Three tables from seasons before 2024, applied in turn to 2024; other segments stay as they are."""
-    r, pr = residuals(spark, folder), predictions(spark, folder).withColumn("lev", LEV).filter("period = 2024")
+    r, pr = residuals(spark, folder), predictions(spark, folder).withColumn("lev", lev()).filter("period = 2024")
     tables = [(c, R.flat_table(r, list(c.keys), c.k) if c.keys[0] != "a" else R.interaction_table(r, "a", list(c.keys[1:]), c.k)) for c in SPEC]
     return R.corrected(pr, "p", tables, F.col("seg") == "R", "p_new").select(*KEY, r6("p_new").alias("p_new"))
 
@@ -57,7 +61,7 @@ def i16_target_centred(spark: SparkSession, folder: str) -> DataFrame:
 
 def i17_screen(spark: SparkSession, folder: str) -> DataFrame:
     """Gain in 2024 of every key and prior weight, as one plan."""
-    r, pr = residuals(spark, folder), predictions(spark, folder).withColumn("lev", LEV).filter("period = 2024 AND seg = 'R'")
+    r, pr = residuals(spark, folder), predictions(spark, folder).withColumn("lev", lev()).filter("period = 2024 AND seg = 'R'")
     rows = [(key, k) for key in ("bhand", "ctx", "lev", "outs") for k in (500.0, 2000.0)]
     for key, k in rows:
         pr = R.looked_up(pr, R.flat_table(r, [key], k), [key], f"{key}_{int(k)}")
@@ -92,7 +96,7 @@ def i24_context_entropy(spark: SparkSession, folder: str) -> DataFrame:
 
 def i25_composition(spark: SparkSession, folder: str) -> DataFrame:
     """Outs composition of each pitcher's count families, drawn to his own, and the deviation from it."""
-    t = trials(spark, folder).withColumn("fam", LEV)
+    t = trials(spark, folder).withColumn("fam", lev())
     c = t.groupBy("a", "fam").pivot("outs", [0, 1, 2]).count().fillna(0)
     own = c.groupBy("a").agg(*[F.sum(str(o)).alias(f"s{o}") for o in range(3)]).withColumnRenamed("a", "oa")
     c = c.join(own, F.col("a") == F.col("oa"))

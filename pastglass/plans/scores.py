@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pastglass.functions import scalars as S
@@ -12,14 +12,22 @@ from pastglass.operators.slices import masked
 from pastglass.plans.rowlocal import KEY, r6
 from pastglass.plans.trials import PRED, predictions
 
-P, Y = F.col("p"), F.col("y")
-MASKS = {"all": F.lit(True), "regular": F.col("seg") == "R", "other": F.col("seg") == "F", "two_strikes": F.col("strikes") == 2, "full": F.col("ctx") == 11}
+
+
+def _py() -> tuple[Column, Column]:
+    return F.col("p"), F.col("y")
+
+
+def masks() -> dict[str, Column]:
+    """Overlapping groups of trials."""
+    return {"all": F.lit(True), "regular": F.col("seg") == "R", "other": F.col("seg") == "F", "two_strikes": F.col("strikes") == 2, "full": F.col("ctx") == 11}
 
 
 def k1_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of the blend by season and overlapping group."""
-    rows = masked(predictions(spark, folder), MASKS)
-    return rows.groupBy("period", "mask").agg(F.count("*").alias("n"), r6(M.brier(P, Y)).alias("brier"), F.round(M.skill(P, Y), 4).alias("skill"), F.round(F.greatest(M.skill(P, Y), F.lit(0.0)), 4).alias("skill_floor"), r6(M.log_loss(P, Y)).alias("log_loss"), F.round(M.skill_gain(F.col("p1"), P, Y), 4).alias("gain_p1"))
+    p, y = _py()
+    rows = masked(predictions(spark, folder), masks())
+    return rows.groupBy("period", "mask").agg(F.count("*").alias("n"), r6(M.brier(p, y)).alias("brier"), F.round(M.skill(p, y), 4).alias("skill"), F.round(F.greatest(M.skill(p, y), F.lit(0.0)), 4).alias("skill_floor"), r6(M.log_loss(p, y)).alias("log_loss"), F.round(M.skill_gain(F.col("p1"), p, y), 4).alias("gain_p1"))
 
 
 def k6_auc(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,22 +47,25 @@ def k8_reliability(spark: SparkSession, folder: str) -> DataFrame:
 
 def k9_tests(spark: SparkSession, folder: str) -> DataFrame:
     """Noise floor, paired noise and z of the blend against its first member, and whether all seasons improve."""
-    by = predictions(spark, folder).groupBy("period").agg(F.round(M.noise_floor(F.col("p1"), P), 4).alias("floor"), F.round(M.two_sigma_gain(F.col("p1"), P, Y), 4).alias("two_sigma"), F.round(M.paired_z(F.col("p1"), P, Y), 4).alias("z"), F.round(M.skill_gain(F.col("p1"), P, Y), 4).alias("gain"))
+    p, y = _py()
+    by = predictions(spark, folder).groupBy("period").agg(F.round(M.noise_floor(F.col("p1"), p), 4).alias("floor"), F.round(M.two_sigma_gain(F.col("p1"), p, y), 4).alias("two_sigma"), F.round(M.paired_z(F.col("p1"), p, y), 4).alias("z"), F.round(M.skill_gain(F.col("p1"), p, y), 4).alias("gain"))
     verdict = by.agg(F.bool_and(F.col("gain") > 0).alias("all_gain"), F.bool_and(F.col("gain") > F.col("two_sigma")).alias("all_clear"))
     return by.crossJoin(F.broadcast(verdict))  # one row
 
 
 def k22_oracle(spark: SparkSession, folder: str) -> DataFrame:
     """Best member per row, in hindsight: the bound of any routing, with the members' spread and correlations."""
+    p, y = _py()
     pr = predictions(spark, folder)
-    best = F.when(Y == 1, F.greatest("p1", "p2")).otherwise(F.least("p1", "p2"))
-    return pr.groupBy("period").agg(r6(M.brier(best, Y)).alias("bound"), F.round(M.skill_gain(P, best, Y), 4).alias("gain"), r6(F.avg(F.abs(F.col("p1") - F.col("p2")) / 2)).alias("spread"), r6(F.corr("p1", "p2")).alias("corr"), r6(F.corr(F.col("p2") - P, Y - P)).alias("residual_corr"))
+    best = F.when(y == 1, F.greatest("p1", "p2")).otherwise(F.least("p1", "p2"))
+    return pr.groupBy("period").agg(r6(M.brier(best, y)).alias("bound"), F.round(M.skill_gain(p, best, y), 4).alias("gain"), r6(F.avg(F.abs(F.col("p1") - F.col("p2")) / 2)).alias("spread"), r6(F.corr("p1", "p2")).alias("corr"), r6(F.corr(F.col("p2") - p, y - p)).alias("residual_corr"))
 
 
 def k43_change(spark: SparkSession, folder: str) -> DataFrame:
     """How far the blend lies from its second member."""
-    d = P - F.col("p2")
-    return predictions(spark, folder).groupBy("period").agg(r6(F.avg(d)).alias("mean_shift"), r6(F.max(F.abs(d))).alias("max_abs"), F.round(M.noise_floor(F.col("p2"), P), 4).alias("floor"))
+    p, y = _py()
+    d = p - F.col("p2")
+    return predictions(spark, folder).groupBy("period").agg(r6(F.avg(d)).alias("mean_shift"), r6(F.max(F.abs(d))).alias("max_abs"), F.round(M.noise_floor(F.col("p2"), p), 4).alias("floor"))
 
 
 def j1_grid(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,8 +76,9 @@ def j1_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 def j2_chained(spark: SparkSession, folder: str) -> DataFrame:
     """Each season scored with the calibration fitted on the season before."""
+    p, y = _py()
     pr = predictions(spark, folder)
-    return C.chained(pr, C.grid_fit(pr, "period", "p", "y"), "period", "p", "p_cal").groupBy("period").agg(r6(M.brier(F.col("p_cal"), Y)).alias("brier"), r6(F.avg("p_cal")).alias("mean_p"))
+    return C.chained(pr, C.grid_fit(pr, "period", "p", "y"), "period", "p", "p_cal").groupBy("period").agg(r6(M.brier(F.col("p_cal"), y)).alias("brier"), r6(F.avg("p_cal")).alias("mean_p"))
 
 
 def j3_shift(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pastglass.operators import contracts as K
@@ -13,10 +13,14 @@ from pastglass.plans.rowlocal import KEY, r6
 from pastglass.plans.trials import PRED, TRIALS, predictions, trials
 from pastglass.sources.tables import table
 
-ERR = F.pow(F.col("p") - F.col("y"), 2)
 AXES = ["seg", "side", "balls", "strikes", "outs", "bhand", "runners"]
 
 
+def err() -> Column:
+    """Squared error of the blend."""
+    return F.pow(F.col("p") - F.col("y"), 2)
+
+
 def _sides(t: DataFrame, value: str) -> DataFrame:
     pair = t.filter(F.col("period").isin(2023, 2024) & F.col(value).isNotNull())
     return pair.groupBy(value).agg(F.sum((F.col("period") == 2023).cast("long")).alias("l"), F.sum((F.col("period") == 2024).cast("long")).alias("r"))
@@ -69,7 +73,7 @@ def f10_excess(spark: SparkSession, folder: str) -> DataFrame:
 
 def c9_bands(spark: SparkSession, folder: str) -> DataFrame:
     """Mean error, leverage and history in bands of the error's quantiles."""
-    pr = predictions(spark, folder).withColumn("err", r6(ERR))
+    pr = predictions(spark, folder).withColumn("err", r6(err()))
     q = pr.groupBy("period").agg(F.percentile("err", [0.2, 0.8, 0.9, 0.95, 0.99]).alias("q")).withColumnRenamed("period", "qp")
     pr = pr.join(q, F.col("period") == F.col("qp"))
     e = F.col("err")
@@ -79,15 +83,15 @@ def c9_bands(spark: SparkSession, folder: str) -> DataFrame:
 
 def k27_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Every level of seven axes: size, share, means and error."""
-    cells = L.scan(predictions(spark, folder), AXES, {"mean_y": F.col("y"), "mean_p": F.col("p"), "brier": ERR}, "period")
+    cells = L.scan(predictions(spark, folder), AXES, {"mean_y": F.col("y"), "mean_p": F.col("p"), "brier": err()}, "period")
     return cells.select("period", "axis", "value", "n", *[r6(c).alias(c) for c in ("share", "mean_y", "mean_p", "brier")])
 
 
 def k28_stable(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of axes whose error exceeds the season's in both of the last two, best first."""
     pr = predictions(spark, folder).filter("period IN (2023, 2024)")
-    cells = L.scan(pr, AXES[:5], {"brier": ERR}, "period", pairs=True)
-    base = pr.groupBy("period").agg(F.avg(ERR).alias("base")).withColumnRenamed("period", "bp")
+    cells = L.scan(pr, AXES[:5], {"brier": err()}, "period", pairs=True)
+    base = pr.groupBy("period").agg(F.avg(err()).alias("base")).withColumnRenamed("period", "bp")
     cells = cells.join(base, F.col("period") == F.col("bp")).withColumn("excess", F.col("brier") - F.col("base"))
     wide = cells.groupBy("axis", "value").pivot("period", [2023, 2024]).agg(F.max("share").alias("share"), F.max("excess").alias("excess"))
     good = wide.filter("`2023_share` >= 0.02 AND `2024_share` >= 0.02 AND `2023_excess` > 0 AND `2024_excess` > 0")
@@ -107,7 +111,7 @@ def k23_route(spark: SparkSession, folder: str) -> DataFrame:
 
 def k20_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Overlap of the rows that each member improves, and correlation of their gains."""
-    g = {m: ERR - F.pow(F.col(m) - F.col("y"), 2) for m in ("p1", "p2")}
+    g = {m: err() - F.pow(F.col(m) - F.col("y"), 2) for m in ("p1", "p2")}
     pr = predictions(spark, folder).select("period", *[v.alias(m) for m, v in g.items()])
     both = ((F.col("p1") > 0) & (F.col("p2") > 0)).cast("long")
     return pr.groupBy("period").agg(r6(F.sum(both) / F.sum(((F.col("p1") > 0) | (F.col("p2") > 0)).cast("long"))).alias("jaccard"), r6(F.corr("p1", "p2")).alias("gain_corr"), *[r6(F.avg((F.col(m) > 0).cast("int"))).alias(f"win_{m}") for m in g])
@@ -115,7 +119,7 @@ def k20_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 def k30_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     """Interval of the two-strike error beyond the whole sample's."""
-    pr = predictions(spark, folder).filter("period = 2024").select(*KEY, "strikes", ERR.alias("err"))
+    pr = predictions(spark, folder).filter("period = 2024").select(*KEY, "strikes", err().alias("err"))
     return L.bootstrap(pr, F.col("strikes") == 2, F.col("err"), 200, 42)
 
 
