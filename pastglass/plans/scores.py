@@ -105,7 +105,7 @@ def j13_vertex(spark: SparkSession, folder: str) -> DataFrame:
 _lo = lambda p: f"least(greatest({p}, 1e-6), 1 - 1e-6)"
 _rc = lambda p, s, b: f"1 / (1 + exp(-(ln({_lo(p)} / (1 - {_lo(p)})) * {s} + {b})))"
 _noise = lambda a, b: f"round(2e5 * sqrt(sum(pow({a} - {b}, 2))) / (count(*) * 0.2498::DOUBLE), 4)"
-_gain = lambda a, b: f"round(1e5 * (avg(pow({a} - y, 2)) - avg(pow({b} - y, 2))) / (avg(y) * (1 - avg(y))), 4)"
+_gain = lambda a, b: f"round(1e5 * (avg(pow({a} - y, 2)) - avg(pow({b} - y, 2))) / nullif(avg(y) * (1 - avg(y)), 0), 4)"
 _masks = " UNION ALL ".join(f"SELECT '{n}' AS mask, * FROM pp WHERE {c}" for n, c in (("all", "true"), ("regular", "seg = 'R'"), ("other", "seg = 'F'"), ("two_strikes", "strikes = 2"), ("full", "ctx = 11")))
 _cal = f"{PRED}, c AS (SELECT period, least(floor(p * 10), 9)::INT AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM pp GROUP BY ALL)"
 _s1, _b1 = [round(0.7 + 0.05 * i, 4) for i in range(13)], [round(-0.12 + 0.02 * i, 4) for i in range(13)]

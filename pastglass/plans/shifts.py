@@ -78,7 +78,7 @@ def c9_bands(spark: SparkSession, folder: str) -> DataFrame:
     pr = pr.join(q, F.col("period") == F.col("qp"))
     e = F.col("err")
     bands = {"top1": e >= F.col("q")[4], "top5": e >= F.col("q")[3], "top10": e >= F.col("q")[2], "top20": e >= F.col("q")[1], "middle": (e > F.col("q")[0]) & (e < F.col("q")[1]), "bottom20": e <= F.col("q")[0], "sure_wrong": ((F.col("y") == 1) & (F.col("p") < 0.4)) | ((F.col("y") == 0) & (F.col("p") > 0.6))}
-    return L.masked(pr, bands).groupBy("period", "mask").agg(F.count("*").alias("n"), r6(F.avg("err")).alias("err"), r6(F.avg("li")).alias("li"), r6(F.avg("na")).alias("history"))
+    return L.masked(pr, bands).groupBy("period", "mask").agg(F.count("*").alias("n"), F.round(F.avg("err"), 9).alias("err"), r6(F.avg("li")).alias("li"), r6(F.avg("na")).alias("history"))
 
 
 def k27_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -251,7 +251,7 @@ SQL = {
     "k16_cold": f"{TRIALS}, x AS (SELECT *, min(period) OVER (PARTITION BY b) AS fb, min(period) OVER (PARTITION BY a, b) AS fp FROM t WHERE b IS NOT NULL) SELECT period, round(avg((fb = period)::INT), 6) AS cold, round(avg((fp = period)::INT), 6) AS cold_pair, round(avg((nb < 100)::INT), 6) AS low_history, count(DISTINCT b) AS batters, count(DISTINCT CASE WHEN fb = period THEN b END) AS new_batters FROM x GROUP BY period",
     "k17_teams": f"{TRIALS}, c AS (SELECT ateam, {', '.join(f'sum((period = {y})::INT)::DOUBLE AS c{y}' for y in (2022, 2023, 2024))} FROM t GROUP BY ateam), s AS (SELECT ateam, {', '.join(f'c{y} / sum(c{y}) OVER () AS s{y}' for y in (2022, 2023, 2024))} FROM c) SELECT ateam, {', '.join(f'round(s{y}, 6) AS share_{y}' for y in (2022, 2023, 2024))}, round(s2024 - s2023, 6) AS change FROM s",
     "f10_excess": f"{TRIALS}, c AS (SELECT ctx, {', '.join(f'avg(CASE WHEN period = {y} THEN y END) AS y{y}' for y in (2022, 2023, 2024))} FROM t GROUP BY ctx) SELECT ctx, round(abs(y2023 - (y2022 + y2024) / 2) - abs(y2024 - y2022), 6) AS excess FROM c",
-    "c9_bands": f"{PRED}, e AS (SELECT * REPLACE (p AS p), round(pow(p - y, 2), 6) AS err FROM pp), q AS (SELECT period, quantile_cont(err, [0.2, 0.8, 0.9, 0.95, 0.99]) AS q FROM e GROUP BY period), m AS ({' UNION ALL '.join(f'''SELECT e.*, '{n}' AS mask FROM e JOIN q USING (period) WHERE {c}''' for n, c in _bands.items())}) SELECT period, mask, count(*) AS n, round(avg(err), 6) AS err, round(avg(li), 6) AS li, round(avg(na), 6) AS history FROM m GROUP BY ALL",
+    "c9_bands": f"{PRED}, e AS (SELECT * REPLACE (p AS p), round(pow(p - y, 2), 6) AS err FROM pp), q AS (SELECT period, quantile_cont(err, [0.2, 0.8, 0.9, 0.95, 0.99]) AS q FROM e GROUP BY period), m AS ({' UNION ALL '.join(f'''SELECT e.*, '{n}' AS mask FROM e JOIN q USING (period) WHERE {c}''' for n, c in _bands.items())}) SELECT period, mask, count(*) AS n, round(avg(err), 9) AS err, round(avg(li), 6) AS li, round(avg(na), 6) AS history FROM m GROUP BY ALL",
     "k27_scan": f"{_E}, x AS ({_axis}), c AS (SELECT period, axis, value, count(*) AS n, round(avg(y), 6) AS mean_y, round(avg(p), 6) AS mean_p, round(avg(err), 6) AS brier FROM x GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY period, axis), 6) AS share FROM c",
     "k28_stable": f"{_E}, x AS ({_pairs}), b AS (SELECT period, avg(err) AS base FROM e GROUP BY period), c AS (SELECT period, axis, value, count(*) AS n, avg(err) AS brier FROM x WHERE period IN (2023, 2024) GROUP BY ALL), s AS (SELECT axis, value, period, n / sum(n) OVER (PARTITION BY period, axis) AS share, brier - base AS excess FROM c JOIN b USING (period)) SELECT axis, value, round(min(excess), 6) AS score FROM s GROUP BY ALL HAVING count(*) = 2 AND min(share) >= 0.02 AND min(excess) > 0 ORDER BY score DESC, axis, value LIMIT 10",
     "k23_route": f"{PRED}, gg AS ({' UNION ALL '.join(f'''SELECT period, ctx, '{m}' AS m, pow({m} - y, 2) AS loss FROM pp''' for m in ('p', 'p1', 'p2'))}), c AS (SELECT period, ctx, m, round(avg(loss), 10) AS loss, count(*) AS n FROM gg GROUP BY ALL), j AS (SELECT x.ctx, x.w AS winner_2023, z.w AS winner_2024 FROM {_win(2023)} x JOIN {_win(2024)} z USING (ctx)), k AS (SELECT j.ctx, round(max(CASE WHEN m = 'p' THEN loss END) - max(CASE WHEN m = winner_2023 THEN loss END), 6) AS gain FROM c JOIN j USING (ctx) WHERE period = 2024 GROUP BY ALL) SELECT ctx, winner_2023, winner_2024, gain, winner_2023 = winner_2024 AND gain > 0 AS stable FROM j JOIN k USING (ctx)",
