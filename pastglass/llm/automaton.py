@@ -67,15 +67,19 @@ def compile_tables(path: str) -> dict[str, np.ndarray]:
     gadgets: dict[int, int] = {}
     probe = Automaton.__new__(Automaton)
     probe.left, probe.right, probe.made, probe.gadgets, probe.memo = left.tolist(), right.tolist(), made.tolist(), gadgets, {}
+    single = {i for token, i in vocabulary.items() if len(token) == 1}
     for rank, (u, v, w) in enumerate(merges):
-        if not probe.fits(u, v):  # the arcs that would meet are gone already: the merge never happens
+        there = all(t in single or probe.made[t] >= 0 for t in (u, v))
+        if not there or not probe.fits(u, v):  # an arc that the merge needs doesn't exist, or no longer: it never happens
             continue
         gadgets[u << 32 | v] = rank
         if probe.made[w] < 0:
             probe.left[w], probe.right[w], probe.made[w] = u, v, rank
-    keys, nodes, ends = [], [], [-1]
+    ends = [-1]
     goto: dict[int, int] = {}
     for token, i in vocabulary.items():
+        if i not in single and probe.made[i] < 0:  # no merge makes it, so no arc has its label
+            continue
         at = 0
         for byte in token:
             step = goto.get(at << 8 | byte)
