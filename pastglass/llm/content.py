@@ -214,7 +214,7 @@ def scorer(spark: SparkSession, model: tuple[np.ndarray, float], text: Column) -
     def run(values: pa.Array) -> pa.Array:
         weights, bias = sent.value
         raw = np.array([raw_score(weights, bias, t.as_py()) for t in values])
-        return pa.array(1 / (1 + np.exp(-np.clip(raw, -500, 500))), pa.float64())
+        return pa.array(np.where(np.isinf(raw), 0.0, 1 / (1 + np.exp(-np.clip(raw, -500, 500)))), pa.float64())
 
     run.__annotations__ = {"values": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "double")(text)

@@ -48,7 +48,7 @@ def rates(texts: DataFrame, targets: DataFrame, total_tokens: int | None = None)
         full = F.coalesce(F.sum("__cap").over(line), F.lit(0.0)) - F.coalesce("__cap", F.lit(0.0))
         rest = F.sum("__w").over(mix) - F.coalesce(F.sum("__w").over(line), F.lit(0.0)) + F.coalesce("__w", F.lit(0.0))
         t = t.withColumn("__l", F.when(F.col("__w").isNotNull() & (rest > 1e-12), (F.lit(float(total_tokens)) - full) / rest))
-        t = t.withColumn("__level", F.coalesce(F.min(F.when(F.col("__l") <= F.col("__r"), F.col("__l"))).over(mix), F.max("__r").over(mix)))
+        t = t.withColumn("__level", F.coalesce(F.max(F.when(F.col("__l") <= F.col("__r"), F.col("__l"))).over(mix), F.max("__r").over(mix)))
     size = F.least(F.col("__cap").cast("double"), F.col("__w") * F.greatest(F.col("__level"), F.lit(0.0)))
     t = t.withColumn("__size", F.coalesce(size, F.lit(0.0)))
     whole = F.sum("__size").over(mix)

@@ -18,7 +18,9 @@ MASKED = re.compile(r"(?<=\w)[*#@$%&]{2,}(?=\w)|[*#]+")
 SPACED = re.compile(r"(?<![\w@$])[a-z0-9@$]([ .\-_*|])[a-z0-9@$](?:\1[a-z0-9@$])+(?![\w@$])")
 SPACED_HANGUL = re.compile(r"(?<![가-힣])[가-힣](?: [가-힣](?![가-힣]))+")
 SPLIT_HANGUL = re.compile(r"(?<=[가-힣])[0-9*.\-_~^|]+(?=[가-힣])")
-MIXED = re.compile(r"(?=[0-9@$]*[a-z])(?=[a-z]*[0-9@$])[a-z0-9@$]+")
+#: Only tried where a word begins, so long runs cost linear time.
+MIXED = re.compile(r"(?<![a-z0-9@$])[a-z0-9@$]*[0-9@$][a-z0-9@$]*")
+LETTER = re.compile("[a-z]")
 NUMBER, AGAIN, WORD = re.compile(r"\d+"), re.compile(r"(.)\1+"), re.compile(r"[\w*']+")
 GAPS = re.compile(r"[ .\-_*|]+")
 #: Features are hashed to this many weights.
@@ -34,7 +36,7 @@ def words_of(text: str) -> list[str]:
     t = SPACED.sub(lambda m: GAPS.sub("", m[0]), t)
     t = MASKED.sub("*", SPLIT_HANGUL.sub("", t))
     t = SPACED_HANGUL.sub(lambda m: m[0].replace(" ", ""), t)
-    t = MIXED.sub(lambda m: m[0].translate(SIGNS), t)
+    t = MIXED.sub(lambda m: m[0].translate(SIGNS) if LETTER.search(m[0]) else m[0], t)
     return WORD.findall(AGAIN.sub(r"\1", NUMBER.sub("0", t)))
 
 
