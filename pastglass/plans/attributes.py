@@ -43,7 +43,7 @@ WITH p AS ({PITCHES_SQL}),
 s AS (SELECT DISTINCT pitcher_id, n0, known_season, revision, c0_succ, c0_mid, c0_ball, c0_rev, c0_strk FROM pitcher_state),
 j AS (
   SELECT p.pitcher_id, p.asof_pitcher_n, p.season, p.asof_pitcher_success_rate, s.* EXCLUDE (pitcher_id),
-         row_number() OVER (PARTITION BY p.pitcher_id, p.asof_pitcher_n ORDER BY s.n0 DESC NULLS LAST, s.known_season DESC, s.revision DESC) AS rk
+         row_number() OVER (PARTITION BY p.pitcher_id, p.asof_pitcher_n ORDER BY s.n0 DESC NULLS LAST, s.known_season DESC, s.revision DESC NULLS LAST, c0_succ DESC NULLS LAST, c0_mid DESC NULLS LAST, c0_ball DESC NULLS LAST, c0_rev DESC NULLS LAST, c0_strk DESC NULLS LAST) AS rk
   FROM p LEFT JOIN s ON s.pitcher_id = p.pitcher_id AND s.n0 <= p.asof_pitcher_n AND s.known_season <= p.season),
 c AS (SELECT pitcher_id, asof_pitcher_n, coalesce(control_success, 0) AS y FROM p),
 cum AS (SELECT pitcher_id, asof_pitcher_n, sum(y) OVER (PARTITION BY pitcher_id ORDER BY asof_pitcher_n) - y AS before FROM c),
