@@ -15,12 +15,12 @@ from pastglass.llm.seeds import BAD, FINE, IDENTITY
 #: Bounds of the sample of rated documents that the classifier is fitted on, in the order of a hash of doc_id.
 MAX_BAD, MAX_FINE = 1_200, 4_500
 #: Rounds of choosing windows in each fit, steps and rate of its descent, and its penalty on weights.
-ROUNDS, STEPS, RATE, L2 = 2, 100, 0.15, 1e-5
+ROUNDS, STEPS, RATE, L2 = 2, 100, 0.15, 1e-4
 #: Weight of the squared score change when an identity term is swapped.
 SWAP = 0.2
 #: Rated texts are judged by fits on the other folds, twice: a bad one below the first, or a fine one above the second
 #: probability counts as a rater's error and is left out of the next fit.
-FOLDS, CLEANINGS, DOUBT_BAD, DOUBT_FINE = 3, 2, 0.3, 0.985
+FOLDS, CLEANINGS, DOUBT_BAD, DOUBT_FINE = 3, 2, 0.1, 0.985
 #: Weight of a bad instance before and after the first cleaning.
 HEAVY = (1.0, 4.0)
 #: A feature gets a weight if this many texts have it, it is this many times as frequent in bad texts, or if a fine
