@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
+#: Blocks for each power of two are as many as let a load of all rows within one power of two have blocks of this size.
+ROWS_A_BLOCK = 300_000
+
 
 def value_counts(rows: DataFrame, load: list[str], columns: list[str]) -> DataFrame:
     """(load..., column_name, num, txt, cnt): how often each value of each column occurs in each load.
@@ -37,12 +42,13 @@ def usable(ranges: dict[str, tuple[float | None, float | None]]) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def place(v: Column) -> Column:
-    """An order-preserving block number of a finite double: 256 blocks for each power of two, either sign, and zero.
+def place(v: Column, per_octave: int = 256) -> Column:
+    """An order-preserving block number of a finite double: so many blocks for each power of two, either sign, and zero.
 
-    At most some hundred thousand blocks whatever the data, and equal values share one.
+    Equal values share a block, whatever the data.
     """
-    return F.when(v == 0, F.lit(0)).when(v > 0, 1_000_000 + F.floor(F.log2(v) * 256)).otherwise(-(1_000_000 + F.floor(F.log2(-v) * 256))).cast("long")
+    log = lambda x: F.floor(F.log2(x) * per_octave) + (1100 * per_octave)
+    return F.when(v == 0, F.lit(0)).when(v > 0, log(v)).otherwise(-log(-v)).cast("long")
 
 
 def summary(counts: DataFrame, load: list[str], patterns: dict[str, str]) -> DataFrame:
@@ -61,21 +67,24 @@ def summary(counts: DataFrame, load: list[str], patterns: dict[str, str]) -> Dat
     )
 
 
-def against_before(counts: DataFrame, feed: str, number: str) -> DataFrame:
+def against_before(counts: DataFrame, feed: str, number: str, per_octave: int) -> DataFrame:
     """One row per (feed, number, column): the loads' distributions against those of number - 1 of the feed.
 
     Every count goes to its own load and, as "before", to the next, so loads meet by grouping and not by a join. ks
     is the greatest difference of the cumulative shares of usable numbers, psi the population stability index over
     the tenths of the load before, chi2 the two-sample chi-square over all values. Cumulative counts are taken in
-    order-preserving blocks and then over blocks: no task sorts a whole load. A load without a load before, or
-    without values of the kind, has null statistics.
+    order-preserving blocks and then over blocks: no task sorts a whole load. Counts are shuffled once, by feed, column
+    and block, and doubled only after that. A load without a load before, or without values of the kind, has null
+    statistics.
     """
     sides = F.array(F.struct(F.lit(0).alias("d"), F.col("cnt").alias("c"), F.lit(0).cast("long").alias("p")), F.struct(F.lit(1).alias("d"), F.lit(0).cast("long").alias("c"), F.col("cnt").alias("p")))
-    given = counts.filter((F.col("num").isNotNull() & F.col("ok")) | F.col("txt").isNotNull())
-    both = given.select(feed, number, "column_name", "num", "txt", F.explode(sides).alias("__s")).withColumn(number, F.col(number) + F.col("__s.d"))
-    both = both.withColumn("__blk", F.coalesce(place(F.col("num")), -2_000_000_000 - F.pmod(F.xxhash64("txt"), F.lit(4096))))
+    # The condition hangs on the count, so it stays above the counting and both uses of the counts share one exchange.
+    given = counts.filter(F.when(F.col("ok") | F.col("txt").isNotNull(), F.col("cnt")) > 0)
+    text_block = -(1 << 40) - F.pmod(F.xxhash64("txt"), F.lit(8 * per_octave))
+    given = given.withColumn("__blk", F.when(F.col("txt").isNull(), place(F.col("num"), per_octave)).otherwise(text_block))
     key = [feed, number, "column_name"]
-    both = both.repartition(*[F.col(k) for k in [*key, "__blk"]])
+    given = given.select(*key, "num", "txt", "cnt", "__blk").repartition(F.col(feed), F.col("column_name"), F.col("__blk"))
+    both = given.select(*key, "num", "txt", "__blk", F.explode(sides).alias("__s")).withColumn(number, F.col(number) + F.col("__s.d"))
     merged = both.groupBy(*key, "__blk", "num", "txt").agg(F.sum("__s.c").alias("c"), F.sum("__s.p").alias("p"))
     blocks = merged.groupBy(*key, "__blk").agg(F.sum("c").alias("bc"), F.sum("p").alias("bp"))
     over, every = Window.partitionBy(*key).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key)
@@ -84,7 +93,7 @@ def against_before(counts: DataFrame, feed: str, number: str) -> DataFrame:
     blocks = blocks.filter((F.col("nc") > 0) & (F.col("np") > 0))
     inside = Window.partitionBy(*key, "__blk").orderBy("num").rowsBetween(Window.unboundedPreceding, 0)
     run = merged.withColumn("ic", F.sum("c").over(inside)).withColumn("ip", F.sum("p").over(inside))
-    run = run.join(blocks, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key] + [F.col("__blk") == F.col("__b")])
+    run = run.join(blocks, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key] + [F.col("__blk").eqNullSafe(F.col("__b"))])
     fc, fp = (F.col("ac") + F.col("ic")) / F.col("nc"), (F.col("ap") + F.col("ip")) / F.col("np")
     cell = F.pow(F.sqrt(F.col("np") / F.col("nc")) * F.col("c") - F.sqrt(F.col("nc") / F.col("np")) * F.col("p"), 2) / (F.col("c") + F.col("p"))
     numeric = F.col("num").isNotNull()
@@ -101,14 +110,15 @@ def profile(rows: DataFrame, *, load: str, feed: str, number: str, columns: list
     stand. Empty input gives no rows; a null load, feed or number is a value like any other, without a load before.
     """
     key = [load, feed, number]
+    per_octave = min(1 << 20, math.ceil((rows.count() + 1) / ROWS_A_BLOCK))
     counts = value_counts(rows, key, columns).withColumn("ok", usable(ranges or {}))
     own = summary(counts, key, patterns or {})
-    shares = own.select(F.col(feed).alias("__f"), (F.col(number) + 1).alias("__n"), F.col("column_name").alias("__c"), (F.col("n_null") / F.col("n_rows")).alias("null_share_before"))
-    change = against_before(counts, feed, number).select(F.col(feed).alias("__f2"), F.col(number).alias("__n2"), F.col("column_name").alias("__c2"), "ks_before", "psi_before", "chi2_before")
+    change = against_before(counts, feed, number, per_octave).select(F.col(feed).alias("__f2"), F.col(number).alias("__n2"), F.col("column_name").alias("__c2"), "ks_before", "psi_before", "chi2_before")
+    line = Window.partitionBy(feed, "column_name").orderBy(number)  # over a feed's loads, not their rows
     out = own.withColumn("null_share", F.col("n_null") / F.col("n_rows"))
-    out = out.join(shares, (F.col(feed) == F.col("__f")) & (F.col(number) == F.col("__n")) & (F.col("column_name") == F.col("__c")), "left")
+    out = out.withColumn("null_share_before", F.when(F.lag(number).over(line) == F.col(number) - 1, F.lag("null_share").over(line)))
     out = out.join(change, (F.col(feed) == F.col("__f2")) & (F.col(number) == F.col("__n2")) & (F.col("column_name") == F.col("__c2")), "left")
-    return out.drop("__f", "__n", "__c", "__f2", "__n2", "__c2")
+    return out.drop("__f2", "__n2", "__c2")
 
 
 def findings(profiled: DataFrame, *, measured: list[str], named: list[str], null_rise: float, drift: float) -> DataFrame:
