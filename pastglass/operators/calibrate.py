@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pastglass.functions.scalars import clip, recalibrate, sigmoid
 
 #: First grid of scales and biases, the fine steps around its best point, and how many of these to either side.
-SCALES, BIASES = [round(0.7 + 0.05 * i, 4) for i in range(13)], [round(-0.12 + 0.02 * i, 4) for i in range(13)]
-FINE, REACH = (0.01, 0.004), 5
+SCALES, BIASES = [round(0.2 + 0.05 * i, 4) for i in range(37)], [round(-0.3 + 0.025 * i, 4) for i in range(25)]
+FINE, REACH = (0.005, 0.0025), 10
+#: A fit no further than this from an end of the first grid (scale, bias) lies on its edge: a first step and a bit.
+MARGIN = (0.06, 0.03)
 
 
 @dataclass(frozen=True)
@@ -41,12 +43,12 @@ def _logits(rows: DataFrame, part: str, p: str, y: str) -> DataFrame:
     return rows.groupBy(part, p).agg(F.count(y).alias("n"), F.sum(y).alias("s"))
 
 
-def _losses(cells: DataFrame, points: Column, part: str, p: str) -> DataFrame:
-    """Mean squared error of each part at each point of an array column (scale, bias)."""
-    long = cells.withColumn("g", F.explode(points))
-    q = recalibrate(F.col(p), F.col("g.scale"), F.col("g.bias"))
+def _losses(cells: DataFrame, scales: list[Column], biases: list[Column], part: str, p: str) -> DataFrame:
+    """Mean squared error of each part at each pair of a scale and a bias."""
+    long = cells.withColumn("scale", F.explode(F.array(*scales))).withColumn("bias", F.explode(F.array(*biases)))
+    q = recalibrate(F.col(p), F.col("scale"), F.col("bias"))
     loss = F.sum(F.col("n") * q * q - 2 * q * F.col("s") + F.col("s")) / F.sum("n")
-    return long.groupBy(part, "g.scale", "g.bias").agg(loss.alias("loss"))
+    return long.groupBy(part, "scale", "bias").agg(loss.alias("loss"))
 
 
 def _best(losses: DataFrame, part: str) -> DataFrame:
@@ -54,16 +56,19 @@ def _best(losses: DataFrame, part: str) -> DataFrame:
 
 
 def grid_fit(rows: DataFrame, part: str, p: str, y: str) -> DataFrame:
-    """(part, scale, bias, loss): the least Brier score over a grid and then a finer one around its best point.
+    """(part, scale, bias, loss, edge): the least Brier score over a grid and then a finer one around its best point.
 
     Ties go to the smaller scale, then bias. Outcomes are 0 or 1; rows are first reduced to distinct predictions.
+    edge marks fits on the edge of the first grid, beyond which the optimum may lie.
     """
     cells = _logits(rows, part, p, y)
-    grid = F.array(*[F.struct(F.lit(s).alias("scale"), F.lit(b).alias("bias")) for s in SCALES for b in BIASES])
-    first = _best(_losses(cells, grid, part, p), part).select(F.col(part).alias("__part"), F.col("scale").alias("__s"), F.col("bias").alias("__b"))
+    grid = _losses(cells, [F.lit(v) for v in SCALES], [F.lit(v) for v in BIASES], part, p)
+    first = _best(grid, part).select(F.col(part).alias("__part"), F.col("scale").alias("__s"), F.col("bias").alias("__b"))
     steps = range(-REACH, REACH + 1)
-    around = F.array(*[F.struct((F.col("__s") + FINE[0] * i).alias("scale"), (F.col("__b") + FINE[1] * j).alias("bias")) for i in steps for j in steps])
-    return _best(_losses(cells.join(first, F.col(part) == F.col("__part")), around, part, p), part)
+    scales, biases = [F.col("__s") + FINE[0] * i for i in steps], [F.col("__b") + FINE[1] * j for j in steps]
+    best = _best(_losses(cells.join(first, F.col(part) == F.col("__part")), scales, biases, part, p), part)
+    inside = [(v > ends[0] + m) & (v < ends[-1] - m) for v, ends, m in ((F.round("scale", 9), SCALES, MARGIN[0]), (F.round("bias", 9), BIASES, MARGIN[1]))]
+    return best.withColumn("edge", ~(inside[0] & inside[1]))
 
 
 def chained(rows: DataFrame, fitted: DataFrame, part: str, p: str, out: str) -> DataFrame:

@@ -69,9 +69,9 @@ def k43_change(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j1_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Scale and bias of the least Brier score on a grid, refined once, for each season."""
+    """Scale and bias of the least Brier score on a grid, refined once, for each season; edge: on the edge of the grid."""
     best = C.grid_fit(predictions(spark, folder), "period", "p", "y")
-    return best.select("period", F.round("scale", 4).alias("scale"), F.round("bias", 4).alias("bias"), r6("loss").alias("loss"))
+    return best.select("period", F.round("scale", 4).alias("scale"), F.round("bias", 4).alias("bias"), r6("loss").alias("loss"), "edge")
 
 
 def j2_chained(spark: SparkSession, folder: str) -> DataFrame:
