@@ -22,7 +22,8 @@ def propagate(blocks: DataFrame, group: list[str], blk: str, sup: str, fields: l
     Within a block all records are joined through one hub, so the missing ones share one estimate and a block's state
     is (sum, count of observed, count of missing): the propagation over single records, exactly, on one row a block.
     Observed records are clamped: they enter each round with their own values. All rounds run in one sorted stage,
-    within super-blocks; the group's observed mean, a clamped node too, ties these together.
+    within super-blocks. An estimate depends on the blocks up to `rounds` away, so super-blocks from haloed() give
+    their own blocks the values of the uncut run.
     """
     w = Window.partitionBy(*group, sup).orderBy(blk)
     for f in fields:
@@ -42,6 +43,15 @@ def propagate(blocks: DataFrame, group: list[str], blk: str, sup: str, fields: l
     return blocks
 
 
+def haloed(blocks: DataFrame, rank: Column, span: int, rounds: int) -> DataFrame:
+    """blocks in super-blocks __sup of `span` successive ranks, each with the `rounds` blocks before and after it.
+
+    __home is a block's own super-block. A block without a rank is alone in the null one.
+    """
+    reach = F.sequence(F.greatest(F.floor((rank - rounds) / span), F.lit(0)), F.floor((rank + rounds) / span))
+    return blocks.withColumn("__home", F.floor(rank / span)).withColumn("__sup", F.explode_outer(reach))
+
+
 def fill(rows: DataFrame, *, group: list[str], order: str, blk: str, fields: dict[str, tuple[float, float]], levels: dict[str, list] | None = None, rounds: int = 8, span: int = 512) -> DataFrame:
     """rows with filled fields: for each field f also f_filled (the value to use), f_was_filled and f_has_earlier.
 
@@ -65,10 +75,17 @@ def fill(rows: DataFrame, *, group: list[str], order: str, blk: str, fields: dic
             marks[f"{f}__{i}"] = F.when(known, (F.col(f) == F.lit(level)).cast("double"))
     parts = [a for f, v in marks.items() for a in (F.coalesce(F.sum(v), F.lit(0.0)).alias(f"s_{f}"), F.count(v).alias(f"c_{f}"), F.count(F.when(v.isNull(), 1)).alias(f"m_{f}"), F.min(F.when(v.isNotNull(), F.col(order))).alias(f"f_{f}"))]
     blocks = rows.groupBy(*group, blk).agg(*parts)
-    whole = [a for f in marks for a in ((F.sum(f"s_{f}") / F.nullif(F.sum(f"c_{f}"), F.lit(0))).alias(f"g_{f}"), F.min(f"f_{f}").alias(f"e_{f}"))]
-    groups = blocks.groupBy(*group).agg(*whole).select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(group)], *[f"{p}_{f}" for f in marks for p in ("g", "e")])
-    blocks = blocks.join(groups, [F.col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(group)]).withColumn("__sup", F.floor(F.col(blk) / span))
-    solved = propagate(blocks, group, blk, "__sup", list(marks), rounds)
+    # Neighbours are successive blocks, whatever their distance: ranks are counted in runs of blocks, then over the runs.
+    blocks = blocks.withColumn("__run", F.floor(F.col(blk) / span))
+    runs = blocks.groupBy(*group, "__run").agg(F.count(blk).alias("__n"), *[a for f in marks for a in (F.sum(f"s_{f}").alias(f"s_{f}"), F.sum(f"c_{f}").alias(f"c_{f}"), F.min(f"f_{f}").alias(f"f_{f}"))])
+    every = Window.partitionBy(*group)
+    whole = [a for f in marks for a in ((F.sum(f"s_{f}").over(every) / F.nullif(F.sum(f"c_{f}").over(every), F.lit(0))).alias(f"g_{f}"), F.min(f"f_{f}").over(every).alias(f"e_{f}"))]
+    base = F.coalesce(F.sum("__n").over(every.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate([*group, "__run"])], base.alias("__base"), *whole)
+    blocks = blocks.join(runs, [F.col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate([*group, "__run"])])
+    rank = F.when(F.col(blk).isNotNull(), F.col("__base") + F.row_number().over(Window.partitionBy(*group, "__run").orderBy(blk)) - 1)
+    blocks = haloed(blocks.withColumn("__rank", rank), F.col("__rank"), span, rounds)
+    solved = propagate(blocks, group, blk, "__sup", list(marks), rounds).filter(F.col("__sup").eqNullSafe(F.col("__home")))
     solved = solved.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*group, blk])], *[F.col(f"x_{f}").alias(f"__x_{f}") for f in marks], *[F.col(f"e_{f}").alias(f"__e_{f}") for f in marks])
     met = rows.join(solved, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*group, blk])], "left")
     out = {}
