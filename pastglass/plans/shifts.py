@@ -88,13 +88,13 @@ def k27_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def k28_stable(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of axes whose error exceeds the season's in both of the last two, best first."""
+    """Levels of all pairs of axes, of 1 % of the rows or more, whose error exceeds the season's in both of the last two; the ten best first."""
     pr = predictions(spark, folder).filter("period IN (2023, 2024)")
-    cells = L.scan(pr, AXES[:5], {"brier": err()}, "period", pairs=True)
+    cells = L.scan(pr, AXES, {"brier": err()}, "period", pairs=True)
     base = pr.groupBy("period").agg(F.avg(err()).alias("base")).withColumnRenamed("period", "bp")
     cells = cells.join(base, F.col("period") == F.col("bp")).withColumn("excess", F.col("brier") - F.col("base"))
     wide = cells.groupBy("axis", "value").pivot("period", [2023, 2024]).agg(F.max("share").alias("share"), F.max("excess").alias("excess"))
-    good = wide.filter("`2023_share` >= 0.02 AND `2024_share` >= 0.02 AND `2023_excess` > 0 AND `2024_excess` > 0")
+    good = wide.filter("`2023_share` >= 0.01 AND `2024_share` >= 0.01 AND `2023_excess` > 0 AND `2024_excess` > 0")
     return good.select("axis", "value", r6(F.least("2023_excess", "2024_excess")).alias("score")).orderBy(F.col("score").desc(), "axis", "value").limit(10)
 
 
