@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastglass.llm.content import fit, rated_sample, scorer, source_rates
+from pastglass.llm.content import fitted, rated_sample, scorer, source_rates
 from pastglass.llm.encoding import decode, encode, token_count
 from pastglass.llm.mixing import distinct_texts, emit, rates, report
-from pastglass.llm.seeds import IDENTITY
-from pastglass.sources.tables import cut, table
+from pastglass.sources.tables import cut, shared_dir, table
 
-#: Groups that the texts of this corpus name besides the common ones.
-GROUPS = IDENTITY | {"en": [*IDENTITY["en"], "Velmari", "Oskan folk", "islanders", "believers of that faith"], "es": [*IDENTITY["es"], "los isleños", "los velmarios", "los viejos"], "ko": [*IDENTITY["ko"], "섬사람들"]}
+#: Scores from which on a document is flagged; the fit sets its bias so.
 THRESHOLD = 0.5
 
 
@@ -47,9 +47,10 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document with its score by a classifier fitted on the rated sample."""
+    """Every document with its score by a classifier fitted on the rated sample, once for each folder and its ratings."""
     docs = table(spark, folder, "documents")
-    model = fit(rated_sample(docs, table(spark, folder, "doc_label")), GROUPS)
+    kept_at = f"{shared_dir(spark)}/pastglass-{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
+    model = fitted(rated_sample(docs, table(spark, folder, "doc_label")), kept_at)
     return docs.select("doc_id", "source", scorer(spark, model, F.col("text")).alias("score"))
 
 
