@@ -18,7 +18,7 @@ from pastglass.llm.seeds import BAD, FINE, IDENTITY
 
 #: Bounds of the sample of rated documents that the classifier is fitted on, in the order of a hash of doc_id; texts of
 #: more characters than LONGEST are never in it (they are scored, whole, all the same).
-MAX_BAD, MAX_FINE, LONGEST = 1_500, 4_500, 100_000
+MAX_BAD, MAX_FINE, LONGEST = 1_500, 4_000, 100_000
 #: Tasks that read them.
 READERS = 32
 #: Rounds of choosing windows in each fit, steps and rate of its descent, and its penalty on weights.
@@ -179,6 +179,19 @@ def surprise(bad: np.ndarray, n: np.ndarray, base: float) -> np.ndarray:
     return np.where((n > 0) & (q > base), n * (q * np.log(q / base) + (1 - q) * np.log((1 - q) / (1 - base))), 0.0)
 
 
+def _counted(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, texts that have them) of the features of two texts or more, in rising order; frugal with memory."""
+    sizes = [len(np.unique(t)) for t in texts]
+    flat, at = np.empty(sum(sizes), np.uint32), 0
+    for t, n in zip(texts, sizes):
+        flat[at : at + n] = np.unique(t)
+        at += n
+    flat.sort()
+    begins = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)]).astype(np.int32)
+    times = np.diff(begins, append=np.int32(len(flat)))
+    return flat[begins[times >= 2]], times[times >= 2]
+
+
 class _Rated:
     """Rated texts and then the starting sentences, in flat arrays.
 
@@ -192,13 +205,9 @@ class _Rated:
         base = [read(t, y, terms) for y, group in ((1, BAD), (0, FINE)) for t in group]
         texts += base
         self.label, self.own = np.array([r[0] for r in texts]), np.arange(len(texts)) < len(self.y)
-        unique = [np.unique(r[1]) for r in texts]
-        keys, df = np.unique(np.concatenate(unique), return_counts=True)
-        keys, df = keys[df >= 2], df[df >= 2]
-        bad_keys, bad = np.unique(np.concatenate([u for u, y in zip(unique, self.label) if y]), return_counts=True)
-        told = bad_keys[bad >= 2]
-        at = np.minimum(np.searchsorted(keys, told), len(keys) - 1)
-        told = told[lower_share(bad[bad >= 2], df[at]) >= LEAST / 2]
+        keys, df = _counted([r[1] for r in texts])
+        bad_keys, bad = _counted([r[1] for r, y in zip(texts, self.label) if y])
+        told = bad_keys[lower_share(bad, df[np.searchsorted(keys, bad_keys)]) >= LEAST / 2] if len(keys) else bad_keys
         started = np.unique(np.concatenate([r[1] for r in base]))
         useful = keys & 1 == 1
         for more in (told, started):
@@ -207,10 +216,9 @@ class _Rated:
             useful[at[np.isin(keys[at], more)]] = True
         self.keys = keys[useful]
         del keys, df, bad_keys, bad, useful
-        had = [self._number(u, None)[0] for u in unique]
-        del unique
-        self.had, self.had_by = np.concatenate(had), np.repeat(np.arange(len(texts), dtype=np.int32), [len(h) for h in had])
         self.texts = [self._number(r[1], r[2]) for r in texts]
+        had = [np.unique(slots) for slots, _ in self.texts]
+        self.had, self.had_by = np.concatenate(had), np.repeat(np.arange(len(texts), dtype=np.int32), [len(h) for h in had])
         self.others = [(*self._number(r[3][0], r[3][1]), r[3][2]) if r[3] else None for r in texts]
         n = np.array([len(starts) - 1 for _, starts in self.texts])
         sizes = np.concatenate([np.diff(starts) for _, starts in self.texts])
