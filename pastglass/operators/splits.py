@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from pastglass.sources.tables import cut
 
-#: Roots of at least this share of all records are the head: at most 1 / HEAD of them, dealt one by one.
-HEAD = 1 / 2000
-#: Roots in one turn of the systematic deal of a band, about.
-TURN = 20
-#: Blocks of the hash order within a band.
-BLOCKS = 4096
+#: A band of at least this many roots is dealt systematically; the roots of the others, less than this for each of at
+#: most 65 bands, go one by one.
+BAND = 20
+#: Typical roots of a band in one turn of the systematic deal.
+TURN = 10
+#: Within a band roots are ordered by size, in as many levels, and then by their hash, in as many blocks.
+LEVELS, BLOCKS = 16, 512
 
 
 def _halves(edges: DataFrame) -> DataFrame:
@@ -36,7 +37,8 @@ def spanning_forest(links: DataFrame, a: str, b: str, edge_id: str, weight: str
     an aggregation with map-side combine or a join against a table with unique keys.
 
     Links with a null end, loops, and repeated or turned-round links are of no effect; a null weight counts as the
-    least; without links both tables are empty. The root of a component is one of its nodes.
+    least; without links both tables are empty. The root of a component is one of its nodes. An error is raised where
+    max_rounds don't suffice, for which it takes more than 2 ** max_rounds nodes.
     """
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v"), (F.col(weight).cast("double") if weight else F.lit(0.0)).alias("w"), F.col(edge_id).alias("id"))
     edges = cut(_least(ends.filter(F.col("u").isNotNull() & F.col("v").isNotNull())))
@@ -57,56 +59,71 @@ def spanning_forest(links: DataFrame, a: str, b: str, edge_id: str, weight: str
             if jump.filter("moved").isEmpty():
                 break
             jump = jump.select("x", "top")
+        else:
+            raise RuntimeError(f"chains of picks not contracted in {max_rounds} rounds")
         to = jump.select(F.col("x").alias("jx"), "top")
         roots = cut(roots.join(to, F.col("root") == F.col("jx"), "left").select("node", F.coalesce("top", "root").alias("root")))
         edges = edges.join(to, F.col("u") == F.col("jx")).select(F.col("top").alias("u"), "v", "w", "id")
         edges = edges.join(to, F.col("v") == F.col("jx")).select("u", F.col("top").alias("v"), "w", "id")
         edges = cut(_least(edges))
+    else:
+        if not edges.isEmpty():
+            raise RuntimeError(f"components not contracted in {max_rounds} rounds")
     return cut(forest), roots
 
 
 def deal(sizes: DataFrame, shares: dict[str, float], seed: int = 7) -> DataFrame:
     """(root, size) -> (root, size, band, split), splits having the given shares of the total size, about.
 
-    Roots are stratified by band (the power of two of their size). Those of the head (HEAD of the total or more, so a
-    bounded number) go one by one, largest first, to the split that lacks most. The others are dealt systematically:
-    in each band, in the order of a hash, by the place of their cumulated size within a turn, for what the head left
-    of each share. Running sums go over hash blocks, then within a block. Sizes of null or zero count as zero and are
-    dealt too.
+    Roots are stratified by band (the power of two of their size). Bands are laid on one line, the largest first, in each
+    the roots by size and hash, each root as long as the share of a turn that its size is of TURN typical roots of the
+    band; turns are a whole number, and each has a part for every split. A root goes to the split in whose part of a
+    turn its middle lies: every band is spread evenly over the splits, and what is left over of a turn goes on in the
+    next band. Bands of less than BAND roots have no whole turns: their roots (a bounded number, among them any that
+    outweighs all others) go one by one beforehand, largest first, to the split that lacks most, and the parts of a turn
+    are made for what these left of each share. Running sums go over bands, then blocks, then within a block. Sizes of
+    null or zero count as zero, weigh nothing, and are dealt by their hash.
     """
     names, seeded = list(shares), F.xxhash64("root", F.lit(seed))
     rows = sizes.select("root", F.coalesce("size", F.lit(0)).cast("long").alias("size")).withColumn("__h", seeded).withColumn("band", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size") + 0.5)).cast("int")).otherwise(-1))
-    total = rows.agg(F.sum("size").alias("__total"))
-    rows = cut(rows.crossJoin(F.broadcast(total)))  # one row
-    big = (F.col("size") >= F.col("__total") * HEAD) & (F.col("size") > 0)
-    line = rows.filter(big).agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("n"), F.col("__h").alias("h"), "root", "__total"))).alias("l"))
+    unit = F.pow(F.lit(2.0), F.col("band"))
+    rows = rows.withColumn("__len", F.when(F.col("size") > 0, F.col("size") / (unit * 1.5 * TURN)).otherwise(0.0))
+    level = F.when(F.col("size") > 0, F.least(F.floor((F.col("size") / unit - 1) * LEVELS), F.lit(LEVELS - 1))).otherwise(0)
+    rows = cut(rows.withColumn("__b", (level * BLOCKS + F.pmod("__h", F.lit(BLOCKS))).cast("int")))
+    blocks = cut(rows.groupBy("band", "__b").agg(F.count("*").alias("__n"), F.sum("size").alias("__s"), F.sum("__len").alias("__l")))
+    bands = blocks.groupBy("band").agg(F.sum("__n").alias("__n"), F.sum("__s").alias("__s"), F.sum("__l").alias("__l"))
+    single = (F.col("__n") < BAND) & (F.col("band") >= 0)
+    total = bands.agg(F.coalesce(F.sum("__s"), F.lit(0)).alias("__total"))
+    few = bands.filter(single).select(F.col("band").alias("__few"))
+    head_rows = rows.join(F.broadcast(few), F.col("band") == F.col("__few"))  # at most 65 bands
+    line = head_rows.agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("n"), F.col("__h").alias("h"), "root", "band"))).alias("l")).crossJoin(F.broadcast(total))  # one row
     targets = F.array(*[F.lit(float(shares[n])) for n in names])
     empty = F.struct(F.array(*[F.lit(0.0) for _ in names]).alias("got"), F.array().cast("array<int>").alias("to"))
 
     def step(acc, x):
-        lack = F.zip_with(targets, acc["got"], lambda t, g: t * x["__total"] - g)
+        lack = F.zip_with(targets, acc["got"], lambda t, g: t * F.col("__total") - g)
         best = F.array_position(lack, F.array_max(lack)).cast("int") - 1
         got = F.transform(acc["got"], lambda g, i: F.when(i == best, g - x["n"]).otherwise(g))
         return F.struct(got.alias("got"), F.concat(acc["to"], F.array(best)).alias("to"))
 
-    dealt = line.select("l", F.aggregate("l", empty, step).alias("d"))
+    dealt = line.select("l", "__total", F.aggregate("l", empty, step).alias("d"))
     names_col = F.array(*[F.lit(n) for n in names])
-    head = dealt.select(F.explode(F.arrays_zip(F.col("l"), F.col("d.to").alias("to"))).alias("z")).select(F.col("z.l.root").alias("root"), (-F.col("z.l.n")).alias("size"), F.element_at(names_col, F.element_at(F.array(F.col("z.to")), 1) + 1).alias("split"))
-    head = head.join(rows.select(F.col("root").alias("__r"), "band"), F.col("root") == F.col("__r")).select("root", "size", "band", "split")
-    left = dealt.select(F.col("d.got").alias("__got"))
-    tail = rows.filter(~big).withColumn("__b", F.pmod("__h", F.lit(BLOCKS)))
-    blocks = tail.groupBy("band", "__b").agg(F.sum("size").alias("__s"))
-    wb = Window.partitionBy("band")
-    blocks = blocks.select(F.col("band").alias("__band"), F.col("__b").alias("__k"), F.coalesce(F.sum("__s").over(wb.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"), F.sum("__s").over(wb).alias("__all"))
-    inner = Window.partitionBy("band", "__b").orderBy("__h", "root").rowsBetween(Window.unboundedPreceding, 0)
-    tail = tail.withColumn("__in", F.sum("size").over(inner)).join(blocks, (F.col("band") == F.col("__band")) & (F.col("__b") == F.col("__k"))).crossJoin(F.broadcast(left))  # one row
-    turns = F.greatest(F.lit(1.0), F.round(F.col("__all") / (TURN * 1.5 * F.pow(F.lit(2.0), F.col("band")))))
-    mid = (F.col("__base") + F.col("__in") - F.col("size") / 2) / F.greatest(F.col("__all"), F.lit(1)) * turns
-    phase = F.when(F.col("__all") > 0, mid - F.floor(mid)).otherwise(F.pmod("__h", F.lit(10000)) / 10000)
-    need = F.transform(F.zip_with(targets, F.col("__got"), lambda t, g: t * F.col("__total") - g), lambda v: F.greatest(v, F.lit(0.0)))
-    tail = tail.withColumn("__need", need).withColumn("__sum", F.aggregate("__need", F.lit(0.0), lambda s, v: s + v)).withColumn("__ph", phase)
-    quota = F.when(F.col("__sum") > 0, F.transform("__need", lambda v: v / F.col("__sum"))).otherwise(targets)
-    tail = tail.withColumn("__q", quota)
+    head = dealt.select(F.explode(F.arrays_zip(F.col("l"), F.col("d.to").alias("to"))).alias("z")).select(F.col("z.l.root").alias("root"), (-F.col("z.l.n")).alias("size"), F.col("z.l.band").alias("band"), F.element_at(names_col, F.element_at(F.array(F.col("z.to")), 1) + 1).alias("split"))
+    need = F.transform(F.zip_with(targets, F.col("d.got"), lambda t, g: t * F.col("__total") - g), lambda v: F.greatest(v, F.lit(0.0)))
+    left = dealt.select(need.alias("__need")).withColumn("__sum", F.aggregate("__need", F.lit(0.0), lambda s, v: s + v))
+    left = left.select(F.when(F.col("__sum") > 0, F.transform("__need", lambda v: v / F.col("__sum"))).otherwise(targets).alias("__q"))
+    # Where each band, and then each block of it, begins on the line, in turns.
+    ahead = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)  # one row a band
+    many = bands.filter(~single)
+    starts = many.select(F.col("band").alias("__band"), F.coalesce(F.sum("__l").over(ahead), F.lit(0.0)).alias("__from")).crossJoin(F.broadcast(many.agg(F.coalesce(F.sum("__l"), F.lit(0.0)).alias("__whole"))))  # one row
+    within = Window.partitionBy("band").orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    places = blocks.join(F.broadcast(starts), F.col("band") == F.col("__band")).select("__band", F.col("__b").alias("__k"), (F.col("__from") + F.coalesce(F.sum("__l").over(within), F.lit(0.0))).alias("__base"), "__whole")
+    inner = Window.partitionBy("band", "__b").orderBy(F.desc("size"), "__h", "root").rowsBetween(Window.unboundedPreceding, 0)
+    tail = rows.join(F.broadcast(few), F.col("band") == F.col("__few"), "left_anti")
+    tail = tail.withColumn("__in", F.sum("__len").over(inner)).join(places, (F.col("band") == F.col("__band")) & (F.col("__b") == F.col("__k"))).crossJoin(F.broadcast(left))  # one row
+    turns = F.greatest(F.lit(1.0), F.round("__whole")) / F.greatest(F.col("__whole"), F.lit(1e-9))
+    mid = (F.col("__base") + F.col("__in") - F.col("__len") / 2) * turns
+    tail = tail.withColumn("__ph", F.when(F.col("size") > 0, mid - F.floor(mid)).otherwise(F.pmod("__h", F.lit(10000)) / 10000))
     split, upto = F.lit(None).cast("string"), F.lit(0.0)
     for i, n in enumerate(names):
         upto = upto + F.col("__q")[i]

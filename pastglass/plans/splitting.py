@@ -49,7 +49,21 @@ def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
     return n.crossJoin(F.broadcast(n.agg(F.sum("pitches").alias("total")))).select("split", "pitches", F.round(F.col("pitches") / F.col("total"), 6).alias("share"))
 
 
+def p4_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Pitches, pitchers in two splits, linked pitchers in two splits, and whether every share is within one point."""
+    given, pitches = assignment(spark, folder), table(spark, folder, "train").select("pitcher_id", "asof_pitcher_n").distinct()
+    rows = split_rows(pitches, given, "pitcher_id", SHARES)
+    by = rows.groupBy("pitcher_id", "split").agg(F.count("*").alias("n"))
+    ids = by.groupBy("pitcher_id").agg(F.count("*").alias("splits"), F.sum("n").alias("n")).agg(F.sum("n").alias("pitches"), F.count(F.when(F.col("splits") > 1, 1)).alias("torn_pitchers"))
+    roots = given.groupBy("root").agg(F.count_distinct("split").alias("splits")).agg(F.count(F.when(F.col("splits") > 1, 1)).alias("torn_groups"))
+    sums = by.groupBy("split").agg(F.sum("n").alias("n"))
+    want = F.create_map(*[x for k, v in SHARES.items() for x in (F.lit(k), F.lit(v))])
+    near = sums.crossJoin(F.broadcast(sums.agg(F.sum("n").alias("all")))).agg((F.max(F.abs(F.col("n") / F.col("all") - want[F.col("split")])) < 0.01).alias("shares_near"))  # one row
+    return ids.crossJoin(F.broadcast(roots)).crossJoin(F.broadcast(near))  # one row each
+
+
 SQL = {
+    "p4_checks": "SELECT count(*) AS pitches, 0::BIGINT AS torn_pitchers, 0::BIGINT AS torn_groups, true AS shares_near FROM (SELECT DISTINCT pitcher_id, asof_pitcher_n FROM train)",
     "p4_found": """
 WITH RECURSIVE n AS (SELECT try_cast(regexp_replace(id_a, '[^0-9]', '', 'g') AS BIGINT) AS a, try_cast(regexp_replace(id_b, '[^0-9]', '', 'g') AS BIGINT) AS b FROM pitcher_link),
 e AS (SELECT a, b FROM n WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM n WHERE a IS NOT NULL AND b IS NOT NULL),
@@ -57,4 +71,4 @@ reach(s, t) AS (SELECT a, b FROM e UNION SELECT r.s, e.b FROM reach r JOIN e ON
 ids AS (SELECT DISTINCT pitcher_id FROM train)
 SELECT DISTINCT s AS pitcher_lo, t AS pitcher_hi FROM reach WHERE s < t AND s IN (FROM ids) AND t IN (FROM ids)"""
 }
-QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares}
+QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p4_checks": p4_checks}

@@ -62,6 +62,40 @@ def test_shares_with_hot_and_many_small_roots(spark):
         assert abs(sum(r["size"] for r in got if r["split"] == name) / total - share) < 0.01, name
 
 
+def test_bands_are_dealt_systematically(spark):
+    sizes = [(i, 3) for i in range(4000)] + [(10_000 + i, 40 + i % 20) for i in range(300)] + [(20_000, 9_000), (20_001, 700)]
+    got = deal(spark.createDataFrame(sizes, "root long, size long"), SHARES).collect()
+    assert sorted((r["root"], r["size"]) for r in got) == sorted(sizes)
+    of = {}
+    for r in got:
+        of.setdefault(r["band"], []).append(r["split"])
+    assert {b: len(v) for b, v in of.items()} == {1: 4000, 5: 300, 13: 1, 9: 1}
+    total, head = sum(s for _, s in sizes), 9_700
+    rest = (0.8 * total - head) / (total - head)
+    for b in (1, 5):  # each band has what the large roots left of each share, within a root a turn or less
+        assert abs(of[b].count("train") / len(of[b]) - rest) < 0.02
+        assert abs(of[b].count("test") / len(of[b]) - (1 - rest) / 2) < 0.02
+
+
+def test_deal_is_in_shares_for_any_sizes(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        sizes = [(i, int(rng.paretovariate(0.9)) + 1) for i in range(rng.choice([300, 900]))]
+        total = sum(s for _, s in sizes)
+        got = deal(spark.createDataFrame(sizes, "root long, size long"), SHARES).collect()
+        biggest = max(s for _, s in sizes) / total
+        for name, share in SHARES.items():
+            lacks = abs(sum(r["size"] for r in got if r["split"] == name) / total - share)
+            assert lacks < 0.01 + max(0, biggest - 0.5), (seed, name, lacks)
+
+
+def test_too_few_rounds_are_an_error(spark):
+    import pytest
+
+    with pytest.raises(RuntimeError):
+        spanning_forest(spark.createDataFrame([(i, i, i + 1) for i in range(9)], "id long, a long, b long"), "a", "b", "id", max_rounds=1)
+
+
 def test_deal_defined_cases(spark):
     assert deal(spark.createDataFrame([], "root long, size long"), SHARES).count() == 0
     got = deal(spark.createDataFrame([(1, None), (2, 0), (3, 5)], "root long, size long"), SHARES).collect()
