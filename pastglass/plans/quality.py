@@ -9,7 +9,7 @@ from pastglass.operators.profile import findings, profile
 from pastglass.sources.tables import table
 
 RANGES = {"ks": (0.0, 1.0), "missing_from": (0.0, 1.0), "psi": (0.0, None)}
-PATTERNS = {"feature": "^[a-z0-9_]*$"}
+PATTERNS = {"feature": r"\A[a-z0-9_]*\z"}
 COLUMNS = ["feature", "from_season", "to_season", "ks", "psi", "mean_from", "mean_to", "median_from", "median_to", "missing_from", "missing_to", "loaded_at"]
 KEYS = {"load": "load_id", "feed": "feed_id", "number": "load_no"}
 
