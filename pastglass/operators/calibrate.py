@@ -38,64 +38,107 @@ def blended(spec: Blend) -> Column:
     return recalibrate(mix, *spec.after)
 
 
-def _logits(rows: DataFrame, part: str, p: str, y: str) -> DataFrame:
+def convex(weights: dict[str, float]) -> Column:
+    """The weighted mean of columns: weights not negative and of sum one, else an error; null where a column isn't a
+    finite number, so that no undefined prediction passes unseen."""
+    if any(not w >= 0 for w in weights.values()) or abs(sum(weights.values()) - 1) > 1e-9:
+        raise ValueError("weights must not be negative and must sum to one")
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c))
+    return sum((finite(c) * w for c, w in weights.items()), F.lit(0.0))
+
+
+def _logits(rows: DataFrame, part: list[str], p: str, y: str) -> DataFrame:
     """Counts of outcomes for each distinct p: what any calibration's loss depends on, after one aggregation."""
-    return rows.groupBy(part, p).agg(F.count(y).alias("n"), F.sum(y).alias("s"))
+    return rows.groupBy(*part, p).agg(F.count(y).alias("n"), F.sum(y).alias("s"))
 
 
-def _losses(cells: DataFrame, scales: list[Column], biases: list[Column], part: str, p: str) -> DataFrame:
+def _losses(cells: DataFrame, scales: list[Column], biases: list[Column], part: list[str], p: str) -> DataFrame:
     """Mean squared error of each part at each pair of a scale and a bias."""
     long = cells.withColumn("scale", F.explode(F.array(*scales))).withColumn("bias", F.explode(F.array(*biases)))
     q = recalibrate(F.col(p), F.col("scale"), F.col("bias"))
     loss = F.sum(F.col("n") * q * q - 2 * q * F.col("s") + F.col("s")) / F.sum("n")
-    return long.groupBy(part, "scale", "bias").agg(loss.alias("loss"))
+    return long.groupBy(*part, "scale", "bias").agg(loss.alias("loss"))
+
+
+def _best(losses: DataFrame, part: list[str]) -> DataFrame:
+    return losses.groupBy(*part).agg(F.min(F.struct(F.round("loss", 12).alias("loss"), "scale", "bias")).alias("b")).select(*part, "b.scale", "b.bias", "b.loss")
+
+
+def _same(part: list[str]) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(part)]
 
 
-def _best(losses: DataFrame, part: str) -> DataFrame:
-    return losses.groupBy(part).agg(F.min(F.struct(F.round("loss", 12).alias("loss"), "scale", "bias")).alias("b")).select(part, "b.scale", "b.bias", "b.loss")
+def _keys(part: list[str]) -> list[Column]:
+    return [F.col(k).alias(f"__k{i}") for i, k in enumerate(part)]
 
 
-def grid_fit(rows: DataFrame, part: str, p: str, y: str) -> DataFrame:
-    """(part, scale, bias, loss, edge): the least Brier score over a grid and then a finer one around its best point.
+def grid_fit(rows: DataFrame, part: str, p: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """(by, part, scale, bias, loss, edge): the least Brier score over a grid and then a finer one around its best point.
 
     Ties go to the smaller scale, then bias. Outcomes are 0 or 1; rows are first reduced to distinct predictions.
-    edge marks fits on the edge of the first grid, beyond which the optimum may lie.
+    edge marks fits on the edge of the first grid, beyond which the optimum may lie. by: further keys of a fit.
     """
-    cells = _logits(rows, part, p, y)
-    grid = _losses(cells, [F.lit(v) for v in SCALES], [F.lit(v) for v in BIASES], part, p)
-    first = _best(grid, part).select(F.col(part).alias("__part"), F.col("scale").alias("__s"), F.col("bias").alias("__b"))
+    keys = [*(by or []), part]
+    cells = _logits(rows, keys, p, y)
+    grid = _losses(cells, [F.lit(v) for v in SCALES], [F.lit(v) for v in BIASES], keys, p)
+    first = _best(grid, keys).select(*_keys(keys), F.col("scale").alias("__s"), F.col("bias").alias("__b"))
     steps = range(-REACH, REACH + 1)
     scales, biases = [F.col("__s") + FINE[0] * i for i in steps], [F.col("__b") + FINE[1] * j for j in steps]
-    best = _best(_losses(cells.join(first, F.col(part) == F.col("__part")), scales, biases, part, p), part)
+    best = _best(_losses(cells.join(first, _same(keys)), scales, biases, keys, p), keys)
     inside = [(v > ends[0] + m) & (v < ends[-1] - m) for v, ends, m in ((F.round("scale", 9), SCALES, MARGIN[0]), (F.round("bias", 9), BIASES, MARGIN[1]))]
     return best.withColumn("edge", ~(inside[0] & inside[1]))
 
 
-def chained(rows: DataFrame, fitted: DataFrame, part: str, p: str, out: str) -> DataFrame:
-    """rows with p calibrated by the fit of the part before (part - 1); without one p stays."""
-    f = fitted.select((F.col(part) + 1).alias("__part"), F.col("scale").alias("__s"), F.col("bias").alias("__b"))
-    joined = rows.join(f, F.col(part) == F.col("__part"), "left")
-    return joined.withColumn(out, F.when(F.col("__s").isNull(), F.col(p)).otherwise(recalibrate(F.col(p), F.col("__s"), F.col("__b")))).drop("__part", "__s", "__b")
+def chained(rows: DataFrame, fitted: DataFrame, part: str, p: str, out: str, by: list[str] | None = None, shifts: DataFrame | None = None) -> DataFrame:
+    """rows with p calibrated by the fit of the part before (part - 1) of the same `by`; without one p stays.
 
-
-def level_shift(rows: DataFrame, part: str, p: str, y: str, bins: int = 4096, rounds: int = 60) -> DataFrame:
-    """(part, shift): the d for which the mean of sigmoid(logit(p) + d) is the part's outcome rate, by bisection.
-
-    Each part is first reduced to at most `bins` groups of log odds with their sizes and mean log odds, so the
-    bisection runs in one expression on a bounded array; its error is of the order of the squared bin width.
+    shifts: (by, part, shift), added to the calibrated log odds of their part where there is a fit.
+    """
+    keys = [*(by or []), part]
+    f = fitted.withColumn(part, F.col(part) + 1).select(*_keys(keys), F.col("scale").alias("__s"), F.col("bias").alias("__b"))
+    if shifts is not None:
+        moved = shifts.select(*[F.col(k).alias(f"__m{i}") for i, k in enumerate(keys)], F.col("shift").alias("__d"))
+        f = f.join(moved, [F.col(f"__k{i}").eqNullSafe(F.col(f"__m{i}")) for i in range(len(keys))], "left").withColumn("__b", F.col("__b") + F.coalesce("__d", F.lit(0.0))).select(*[f"__k{i}" for i in range(len(keys))], "__s", "__b")
+    joined = rows.join(f, _same(keys), "left")
+    return joined.withColumn(out, F.when(F.col("__s").isNull(), F.col(p)).otherwise(recalibrate(F.col(p), F.col("__s"), F.col("__b")))).drop("__s", "__b", *[f"__k{i}" for i in range(len(keys))])
+
+
+def level_shift(rows: DataFrame, part: list[str], p: str, y: str, target: str | None = None, reach: float = 8.0, points: int = 64, rounds: int = 4) -> DataFrame:
+    """(part, shift): the d in -reach..reach for which the mean of sigmoid(logit(p) + d) is the part's outcome rate.
+
+    Exact for any number of predictions: rows are reduced to distinct predictions, and each round evaluates the mean,
+    which rises with d, at `points` shifts in one aggregation with map-side combine and keeps the interval with the
+    target; within the last one, of 2 reach / points ** rounds, d is interpolated. Nothing but one row for each part is
+    carried between rounds. target: a column, constant in a part, to meet instead of the outcome rate. A target beyond
+    what reach can give ends at that end; parts without outcomes (or a null target) have a null shift.
     """
     z = F.ln(clip(F.col(p), 1e-6, 1 - 1e-6) / (1 - clip(F.col(p), 1e-6, 1 - 1e-6)))
-    cells = rows.withColumn("__z", z).groupBy(part, F.floor((F.col("__z") + 14) / 28 * bins).alias("__b")).agg(F.avg("__z").alias("z"), F.count("*").alias("n"), F.sum(y).alias("s"))
-    whole = cells.groupBy(part).agg(F.collect_list(F.struct("z", "n")).alias("c"), F.sum("n").alias("n"), F.sum("s").alias("s"))
-
-    def step(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        mean = F.aggregate("c", F.lit(0.0), lambda t, x: t + x["n"] * sigmoid(x["z"] + mid)) / F.col("n")
-        low = mean < F.col("s") / F.col("n")
-        return F.struct(F.when(low, mid).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(mid).alias("hi"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.lit(-20.0).alias("lo"), F.lit(20.0).alias("hi")), step)
-    return whole.select(part, ((found["lo"] + found["hi"]) / 2).alias("shift"))
+    goal = F.max(target) if target else F.sum("__s") / F.sum("__n")
+    cells = rows.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*part, p, *([target] if target else [])).agg(F.count("*").alias("__n"), F.sum(y).alias("__s")).withColumn("__z", z)
+    bracket = cells.groupBy(*part).agg(goal.alias("__t"), F.sum("__n").alias("__all")).withColumn("__lo", F.lit(-reach)).withColumn("__hi", F.lit(reach))
+    for _ in range(rounds):
+        b = bracket.select(*_keys(part), "__t", "__all", "__lo", "__hi")
+        long = cells.join(F.broadcast(b), _same(part)).withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(points))))  # one row for each part
+        d = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__i") / points
+        means = long.groupBy(*part, "__i").agg((F.sum(F.col("__n") * sigmoid(F.col("__z") + d)) / F.max("__all")).alias("__m"), F.max("__t").alias("__t"), F.max("__all").alias("__all"), F.max("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
+        below = F.coalesce(F.max(F.when(F.col("__m") < F.col("__t"), F.col("__i"))), F.lit(0))
+        at = F.least(below, F.lit(points - 1))
+        each = means.groupBy(*part).agg(at.alias("__at"), F.max("__t").alias("__t"), F.max("__all").alias("__all"), F.max("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.map_from_entries(F.collect_list(F.struct("__i", "__m"))).alias("__ms"))  # points + 1
+        width = (F.col("__hi") - F.col("__lo")) / points
+        bracket = each.select(*part, "__t", "__all", (F.col("__lo") + width * F.col("__at")).alias("__lo"), (F.col("__lo") + width * (F.col("__at") + 1)).alias("__hi"), F.element_at("__ms", F.col("__at")).alias("__ml"), F.element_at("__ms", F.col("__at") + 1).alias("__mh"))
+    share = F.least(F.greatest((F.col("__t") - F.col("__ml")) / F.nullif(F.col("__mh") - F.col("__ml"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return bracket.select(*part, F.when(F.col("__t").isNotNull(), F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.coalesce(share, F.lit(0.5))).alias("shift"))
+
+
+def drift_shift(rows: DataFrame, fitted: DataFrame, rates: DataFrame, part: str, p: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """(by, part, shift) for each part after a fitted one: what brings the calibrated predictions of the part before to
+    the rate forecast for it. fitted: grid_fit(); rates: (by, part, forecast), each from earlier parts alone."""
+    keys = [*(by or []), part]
+    f = fitted.select(*_keys(keys), F.col("scale").alias("__s"), F.col("bias").alias("__b"))
+    ahead = rates.withColumn(part, F.col(part) - 1).select(*[F.col(k).alias(f"__m{i}") for i, k in enumerate(keys)], F.col("forecast").alias("__goal"))
+    met = rows.join(f, _same(keys)).withColumn("__q", recalibrate(F.col(p), F.col("__s"), F.col("__b"))).drop(*[f"__k{i}" for i in range(len(keys))])
+    met = met.join(ahead, [F.col(k).eqNullSafe(F.col(f"__m{i}")) for i, k in enumerate(keys)]).filter(F.col("__goal").isNotNull())
+    return level_shift(met, keys, "__q", y, "__goal").withColumn(part, F.col(part) + 1)
 
 
 def sweep(rows: DataFrame, part: str, one: str, two: str, y: str, weights: list[float]) -> DataFrame:

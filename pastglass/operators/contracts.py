@@ -38,22 +38,30 @@ def joined_unique(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     return met.filter(sure).drop("__n", "__rk")
 
 
-def independence(rows: DataFrame, key: list[str], run: Callable[[DataFrame], DataFrame], outputs: list[str], subset: float = 0.5) -> DataFrame:
-    """(variant, rows_met, max_abs_diff): does a row's output change if others are left out, repeated or reordered?
+def independence(rows: DataFrame, key: list[str], run: Callable[[DataFrame], DataFrame], outputs: list[str], mutable: list[str] | None = None, subset: float = 0.5, singles: int = 3) -> DataFrame:
+    """(variant, rows_met, max_abs_diff): does a row's output change with what else is in the batch?
 
-    run maps rows to key and numeric outputs. Outputs of each variant are joined to the whole run by key.
+    run maps rows to key and numeric outputs, those of each variant are joined to those of the whole by key. Variants:
+    rows shuffled, reversed, a subset of them, some deleted, some repeated, some alone in their batch, the others
+    changed (their numeric `mutable` columns), and foreign rows added (with null keys).
     """
     base = run(rows).select(*key, *[F.col(o).cast("double").alias(f"base_{o}") for o in outputs])
     h = F.pmod(F.xxhash64(*key), F.lit(1000)) / 1000.0
-    variants = {"subset": rows.filter(h < subset), "reordered": rows.orderBy(F.xxhash64(*key).desc()), "repeated": rows.unionByName(rows.filter(h < 0.1))}
+    changed = rows.withColumns({c: F.when(h < subset, F.col(c)).otherwise((F.coalesce(F.col(c), F.lit(0)) * 3 + 1).cast(rows.schema[c].dataType)) for c in mutable or []})
+    foreign = rows.filter(h < 0.1).withColumns({k: F.lit(None).cast(rows.schema[k].dataType) for k in key})
+    variants = {
+        "shuffled": [rows.orderBy(F.xxhash64(*key))], "reversed": [rows.orderBy(*[F.col(k).desc() for k in key])], "subset": [rows.filter(h < subset)], "deleted": [rows.filter(h >= 0.1)],
+        "repeated": [rows.unionByName(rows.filter(h < 0.1))], "single": [rows.orderBy(F.xxhash64(*key, F.lit(i)), *key).limit(1) for i in range(singles)], "others_changed": [changed], "foreign_added": [rows.unionByName(foreign)],
+    }
     out = None
-    for name, part in variants.items():
-        got = run(part).groupBy(*key).agg(*[F.max(F.col(o).cast("double")).alias(o) for o in outputs])
-        met = base.join(got, key)
-        diff = [F.coalesce(F.abs(F.col(o) - F.col(f"base_{o}")), F.when(F.col(o).isNull() != F.col(f"base_{o}").isNull(), F.lit(float("inf"))).otherwise(0.0)) for o in outputs]
-        one = met.agg(F.lit(name).alias("variant"), F.count("*").alias("rows_met"), F.max(F.greatest(*diff, F.lit(0.0))).alias("max_abs_diff"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    for name, parts in variants.items():
+        for part in parts:
+            got = run(part).groupBy(*key).agg(*[F.max(F.col(o).cast("double")).alias(o) for o in outputs])
+            met = base.join(got, key).filter(h < subset) if name == "others_changed" else base.join(got, key)
+            diff = [F.coalesce(F.abs(F.col(o) - F.col(f"base_{o}")), F.when(F.col(o).isNull() != F.col(f"base_{o}").isNull(), F.lit(float("inf"))).otherwise(0.0)) for o in outputs]
+            one = met.agg(F.lit(name).alias("variant"), F.count("*").alias("rows_met"), F.max(F.greatest(*diff, F.lit(0.0))).alias("max_abs_diff"))
+            out = one if out is None else out.unionByName(one)
+    return out.groupBy("variant").agg(F.sum("rows_met").alias("rows_met"), F.max("max_abs_diff").alias("max_abs_diff"))
 
 
 def dictionary(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pastglass.operators.profile import quantiles
+from pastglass.sources.tables import cut
+
 
 def category_codes(fitted: DataFrame, column: str, first: int = 0) -> DataFrame:
     """(value, code): codes from `first` on in the order of the distinct non-null values.
@@ -18,7 +21,7 @@ def category_codes(fitted: DataFrame, column: str, first: int = 0) -> DataFrame:
 
 def numbered(values: DataFrame, order: str, out: str, first: int) -> DataFrame:
     """values (of distinct `order`) with consecutive numbers in that order, by counts of hash-free ranges."""
-    ranged = values.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
+    ranged = cut(values.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id()))  # read twice
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     line = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     starts = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(line), F.lit(0)).alias("__before"))
@@ -34,13 +37,25 @@ def apply_codes(rows: DataFrame, codes: DataFrame, column: str, out: str, unseen
     return joined.withColumn(out, F.coalesce("__c", F.lit(unseen).cast("long")) if unseen is not None else F.col("__c")).drop("__v", "__c")
 
 
+def edges_of(rows: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """One row with an array <column>_q of exact quantiles for each column, null without values: all columns at once."""
+    cell = [F.struct(F.lit(c).alias("__c"), F.col(c).cast("double").alias("__x")) for c in columns]
+    long = rows.select(F.explode(F.array(*cell)).alias("__s")).select("__s.*")
+    found = quantiles(long, ["__c"], "__x", probs, "__q")
+    return found.agg(*[F.max(F.when(F.col("__c") == c, F.col("__q"))).alias(f"{c}_q") for c in columns])
+
+
+def medians(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with the exact median <column>_med of each column."""
+    return edges_of(rows, columns, [0.5]).select(*[F.col(f"{c}_q")[0].alias(f"{c}_med") for c in columns])
+
+
 def numeric_prep(fitted: DataFrame, columns: list[str]) -> DataFrame:
     """One row with median, mean and population deviation (after imputing the median; 1 if nearly 0) and missing share.
 
-    Exact medians: percentile keeps value counts, merged from partial counts.
+    Exact medians, by counts in order-preserving blocks.
     """
-    medians = fitted.agg(*[F.percentile(c, 0.5).alias(f"{c}_med") for c in columns])
-    filled = fitted.select(*columns).crossJoin(F.broadcast(medians))  # one row
+    filled = fitted.select(*columns).crossJoin(F.broadcast(medians(fitted, columns)))  # one row
     aggs: list[Column] = []
     for c in columns:
         v = F.coalesce(F.col(c), F.col(f"{c}_med"))
@@ -68,7 +83,7 @@ def one_hot(column: Column, levels: list) -> dict[str, Column]:
 
 def quantile_bins(rows: DataFrame, column: str, parts: int, out: str) -> DataFrame:
     """rows with the number (from 0) of the right-closed quantile bin of column, equal edges merged; null stays null."""
-    edges = rows.agg(F.array_sort(F.array_distinct(F.percentile(column, [i / parts for i in range(parts + 1)]))).alias("__edges"))
+    edges = edges_of(rows, [column], [i / parts for i in range(parts + 1)]).select(F.array_sort(F.array_distinct(f"{column}_q")).alias("__edges"))
     joined = rows.crossJoin(F.broadcast(edges))  # one row
     above = F.size(F.filter("__edges", lambda e: e < F.col(column)))
     return joined.withColumn(out, F.when(F.col(column).isNotNull(), F.greatest(above - 1, F.lit(0)))).drop("__edges")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pastglass.operators.profile import place
+from pastglass.operators.profile import place, quantiles
 
 
 def brier(p: Column, y: Column) -> Column:
@@ -99,20 +99,33 @@ def two_sample_ks(counts: DataFrame, part: list[str], value: str, left: str, rig
     return met.groupBy(*part).agg(F.max(d).alias("ks"))
 
 
-def stability_index(rows: DataFrame, value: str, side: str, parts: int = 10) -> DataFrame:
-    """One row, psi: between rows of side 0 and side 1, in bins of pooled quantiles (equal ones merged; under 3: 0)."""
-    edges = rows.agg(F.array_sort(F.array_distinct(F.percentile(value, [i / parts for i in range(parts + 1)]))).alias("__e"))
-    cut = F.least(F.size(F.filter(F.slice("__e", 2, F.size("__e")), lambda e: e <= F.col(value))), F.size("__e") - 2)
-    counts = rows.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(edges)).groupBy(F.size("__e").alias("__n"), cut.alias("__bin")).agg(F.sum(1 - F.col(side)).alias("a"), F.sum(side).alias("b"))  # one row of edges
-    every = Window.partitionBy("__n")
-    pa, pb = (F.greatest(F.col(c) / F.sum(c).over(every), F.lit(1e-6)) for c in ("a", "b"))
-    return counts.withColumn("__t", (pb - pa) * F.ln(pb / pa)).agg(F.when(F.max("__n") < 3, 0.0).otherwise(F.sum("__t")).alias("psi"))
+def stability_index(counts: DataFrame, part: list[str], value: str, left: str, right: str, parts: int = 10) -> DataFrame:
+    """(part, psi) from counts of each distinct finite value on either side, in bins of pooled quantiles, equal edges
+    merged; 0 with under 3 edges, null if a side is empty. Edges are exact (see quantiles)."""
+    pooled = quantiles(counts.withColumn("__w", F.col(left) + F.col(right)), part, value, [i / parts for i in range(parts + 1)], "__e", "__w")
+    edges = pooled.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(part)], F.array_sort(F.array_distinct("__e")).alias("__e"))
+    met = counts.join(edges, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(part)])
+    cut = F.greatest(F.least(F.size(F.filter(F.slice("__e", 2, F.size("__e")), lambda e: e <= F.col(value))), F.size("__e") - 2), F.lit(0))
+    bins = met.groupBy(*part, F.size("__e").alias("__n"), cut.alias("__bin")).agg(F.sum(left).alias("__l"), F.sum(right).alias("__r"))
+    every = Window.partitionBy(*part)  # over bins
+    pa, pb = (F.greatest(F.col(c) / F.nullif(F.sum(c).over(every), F.lit(0)), F.lit(1e-6)) for c in ("__l", "__r"))
+    both = (F.sum("__l").over(every) > 0) & (F.sum("__r").over(every) > 0)
+    terms = bins.withColumn("__t", F.when(both, (pa - pb) * F.ln(pa / pb)))
+    return terms.groupBy(*part).agg(F.when(F.max("__n") < 3, F.when(F.count("__t") > 0, 0.0)).otherwise(F.sum("__t")).alias("psi"))
 
 
-def divergence(counts: DataFrame, left: str, right: str) -> DataFrame:
-    """One row: Jensen-Shannon divergence (natural log) of two columns of counts, and the share of right unseen in left."""
-    total = counts.agg(F.sum(left).alias("__l"), F.sum(right).alias("__r"))
+def divergence(counts: DataFrame, part: list[str], name: str, left: str, right: str) -> DataFrame:
+    """(part, js, top_category, top_left, top_right, unseen) of two columns of counts of names.
+
+    js is the Jensen-Shannon divergence (natural log), top_category the most frequent one of the left side (the first
+    by name on ties) with its share on either side, unseen the share of right in names that left doesn't have. Null
+    if a side is empty.
+    """
+    total = counts.groupBy(*part).agg(F.sum(left).alias("__l"), F.sum(right).alias("__r"), F.min(F.struct((-F.col(left)).alias("n"), F.col(name).alias("name"))).alias("__top"))
+    total = total.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(part)], F.nullif("__l", F.lit(0)).alias("__l"), F.nullif("__r", F.lit(0)).alias("__r"), F.col("__top.name").alias("__name"))
+    met = counts.join(total, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(part)])
     p, q = F.col(left) / F.col("__l"), F.col(right) / F.col("__r")
     m = (p + q) / 2
-    term = lambda x: F.when(x > 0, x * F.ln(x / m)).otherwise(0.0)
-    return counts.crossJoin(F.broadcast(total)).agg(F.sum((term(p) + term(q)) / 2).alias("js"), F.sum(F.when(F.col(left) == 0, q).otherwise(0.0)).alias("unseen"), F.max(p).alias("top_left"), F.max(q).alias("top_right"))  # one row
+    term = lambda x: F.when(x > 0, x * F.ln(x / m)).when(x == 0, 0.0)
+    top = F.col(name) == F.col("__name")
+    return met.groupBy(*part).agg(F.sum((term(p) + term(q)) / 2).alias("js"), F.max("__name").alias("top_category"), F.max(F.when(top, p)).alias("top_left"), F.max(F.when(top, q)).alias("top_right"), F.sum(F.when(F.col(left) == 0, q).otherwise(q * 0)).alias("unseen"))

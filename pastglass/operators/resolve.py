@@ -19,20 +19,35 @@ def fingerprints(rows: DataFrame, entity: str, cell: Column, block: Column) -> D
     return cells.join(keyed, entity).select(entity, "block", "cell", (F.sqrt("n") / F.col("len")).alias("v"))
 
 
-def similarities(left: DataFrame, right: DataFrame, a: str, b: str, least: float = 0.0) -> DataFrame:
-    """(a, b, sim): cosine of the fingerprints that share a block and at least one cell, by an inverted index.
+def _prefix(side: DataFrame, entity: str, spread: DataFrame, least: float) -> DataFrame:
+    """(entity, block, cell) of the rarest cells of each entity: those beyond which less than `least` of its length is left."""
+    met = side.join(spread, (F.col("block") == F.col("__sb")) & (F.col("cell") == F.col("__sc")))
+    common_first = Window.partitionBy(entity).orderBy(F.col("__df").desc(), F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, 0)  # over an entity's cells
+    return met.withColumn("__rest", F.sum(F.col("v") * F.col("v")).over(common_first)).filter(F.sqrt("__rest") >= least - 1e-9).select(entity, "block", "cell")
 
-    The join is on block and cell, so its size is the overlap of the fingerprints and never entities times entities.
+
+def similarities(left: DataFrame, right: DataFrame, a: str, b: str, least: float = 0.5) -> DataFrame:
+    """(a, b, sim): cosine of the fingerprints of every pair that shares a block and whose cosine is at least `least`.
+
+    Exact, by prefixes: cells are ordered by how many entities have them. What an entity has beyond its rarest cells is
+    shorter than `least`, so it can't make up such a cosine alone: a pair of one meets in the rare cells of both. Only
+    pairs that do are candidates; their cosines are taken over all cells. Cells that nearly everybody has join nobody,
+    and the higher `least`, the shorter the prefixes. With 0, every shared cell makes a candidate.
     """
-    r = right.select(F.col(b), F.col("block").alias("__bl"), F.col("cell").alias("__c"), F.col("v").alias("__v"))
-    met = left.join(r, (F.col("block") == F.col("__bl")) & (F.col("cell") == F.col("__c")))
+    both = left.select("block", "cell").unionByName(right.select("block", "cell"))
+    spread = both.groupBy("block", "cell").agg(F.count("*").alias("__df")).select(F.col("block").alias("__sb"), F.col("cell").alias("__sc"), "__df")
+    l, r = _prefix(left, a, spread, least), _prefix(right, b, spread, least).select(F.col(b), F.col("block").alias("__bl"), F.col("cell").alias("__c"))
+    pairs = l.join(r, (F.col("block") == F.col("__bl")) & (F.col("cell") == F.col("__c"))).select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct()
+    met = pairs.join(left, F.col("__a") == F.col(a)).select(a, "__b", "cell", "v")
+    other = right.select(F.col(b), F.col("cell").alias("__c"), F.col("v").alias("__v"))
+    met = met.join(other, (F.col("__b") == F.col(b)) & (F.col("cell") == F.col("__c")))
     return met.groupBy(a, b).agg(F.round(F.sum(F.col("v") * F.col("__v")), 9).alias("sim")).filter(F.col("sim") >= least)
 
 
 def mutual_best(sims: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, sim) of pairs that are each other's best, ties to the least id."""
-    best_b = sims.groupBy(a).agg(F.min(F.struct((-F.col("sim")).alias("s"), F.col(b))).alias("x")).select(F.col(a).alias("__a"), F.col(f"x.{b}").alias("__b"))
-    best_a = sims.groupBy(b).agg(F.min(F.struct((-F.col("sim")).alias("s"), F.col(a))).alias("x")).select(F.col(b).alias("__b2"), F.col(f"x.{a}").alias("__a2"))
+    best_b = sims.groupBy(a).agg(F.min(F.struct((-F.col("sim")).alias("s"), F.col(b))).alias("__x")).select(F.col(a).alias("__a"), F.col(f"__x.{b}").alias("__b"))
+    best_a = sims.groupBy(b).agg(F.min(F.struct((-F.col("sim")).alias("s"), F.col(a))).alias("__x")).select(F.col(b).alias("__b2"), F.col(f"__x.{a}").alias("__a2"))
     met = sims.join(best_b, (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b")))
     return met.join(best_a, (F.col(b) == F.col("__b2")) & (F.col(a) == F.col("__a2"))).select(a, b, "sim")
 
@@ -44,12 +59,11 @@ def modal(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def agreement(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, period: str, lv: str, rv: str, least: int, share: float) -> DataFrame:
-    """pairs whose attributes agree: each period's (lv, rv) is looked up in the consensus of all pairs, and at least
-    `share` of a pair's periods must match a consensus pair that `least` periods support."""
+    """pairs whose attributes agree: (lv, rv) that `least` periods of all pairs have are consensus, and at least `share`
+    of a pair's periods must be one of these. A pair without a common period does not agree."""
     each = pairs.join(left, a).join(right.withColumnRenamed(period, "__p"), b).filter(F.col(period) == F.col("__p"))
-    votes = each.groupBy(lv, rv).agg(F.count("*").alias("n"))
-    top = votes.filter(F.col("n") >= least).groupBy(lv).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(rv))).alias("x")).select(F.col(lv).alias("__l"), F.col(f"x.{rv}").alias("__r"))
-    ok = each.join(top, F.col(lv) == F.col("__l"), "left").withColumn("__ok", F.coalesce((F.col(rv) == F.col("__r")).cast("int"), F.lit(0)))
+    votes = each.groupBy(F.col(lv).alias("__l"), F.col(rv).alias("__r")).agg((F.count("*") >= least).cast("int").alias("__ok"))
+    ok = each.join(votes, (F.col(lv) == F.col("__l")) & (F.col(rv) == F.col("__r")))
     good = ok.groupBy(a, b).agg(F.avg("__ok").alias("agree")).filter(F.col("agree") >= share)
     return pairs.join(good, [a, b])
 

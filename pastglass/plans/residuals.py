@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pastglass.functions import scalars as S
 from pastglass.operators import residual as R
+from pastglass.operators.encode import medians
+from pastglass.operators.profile import quantiles
 from pastglass.plans.rowlocal import KEY, r6
 from pastglass.plans.trials import PRED, TRIALS, predictions, trials
 
@@ -80,7 +82,7 @@ def i18_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
 def i23_missing_block(spark: SparkSession, folder: str) -> DataFrame:
     """Recent rates drawn to the median by reliability, with missing flags."""
     t = trials(spark, folder)
-    med = t.filter("period < 2024").agg(F.percentile("r_prev3", 0.5).alias("m3"), F.percentile("r_prev5", 0.5).alias("m5"))
+    med = medians(t.filter("period < 2024"), ["r_prev3", "r_prev5"]).toDF("m3", "m5")
     t = t.filter("period = 2024").crossJoin(F.broadcast(med))  # one row
     rel = S.reliability(F.col("na"), 100.0)
     return t.select(*KEY, *[r6(rel * F.coalesce(f"r_prev{k}", f"m{k}") + (1 - rel) * F.col(f"m{k}")).alias(f"s{k}") for k in (3, 5)], F.col("r_prev3").isNull().cast("int").alias("m3_isna"))
@@ -130,7 +132,7 @@ def i30_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Training weights by error quantile and by uncertainty; the last season's labels play no part."""
     pr = predictions(spark, folder)
     err = F.abs(F.col("y") - F.col("p"))
-    q = pr.filter("period < 2024").agg(F.percentile(err, [0.5, 0.75, 0.9]).alias("q"))
+    q = quantiles(pr.filter("period < 2024").withColumn("err", err), [], "err", [0.5, 0.75, 0.9])
     w = F.when(err >= F.col("q")[2], 3.0).when(err >= F.col("q")[1], 2.0).when(err >= F.col("q")[0], 1.5).otherwise(1.0)
     return pr.filter("period < 2024").crossJoin(F.broadcast(q)).select(*KEY, w.alias("w_hard"), r6(1 + 0.5 * 4 * F.col("p") * (1 - F.col("p"))).alias("w_unsure"))  # one row
 

@@ -51,12 +51,6 @@ def i5_recent_form(spark: SparkSession, folder: str) -> DataFrame:
     return t.select(*KEY, r6(F.col("r_prev5") - S.current("na", "r_succ")[1]).alias("recent_form"), *[r6(S.current("na", r)[1] - F.col(r)).alias(f"vs_career_{r[2:]}") for r in PRATES])
 
 
-def i7_gated(spark: SparkSession, folder: str) -> DataFrame:
-    """The running success rate in the cell of its count and hands, null elsewhere."""
-    cells = {f"c{b}{s}": (F.col("balls") == b) & (F.col("strikes") == s) for b in range(4) for s in range(3)} | {f"h{x}{y}": (F.col("ahand") == x) & (F.col("bhand") == y) for x in (1, 2) for y in (1, 2)}
-    return _stated(spark, folder).select(*KEY, *[r6(v).alias(k) for k, v in S.gated(S.current("na", "r_succ")[1], cells).items()])
-
-
 def i8_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Success rate over the last one and two seasons before each pitch's season."""
     t = _stated(spark, folder, back=(0, 1, 2))
@@ -74,11 +68,28 @@ def i9_form(spark: SparkSession, folder: str) -> DataFrame:
     return t.select(*KEY, r6("adj").alias("adj"), r6(S.apply_form(F.col("p"), F.col("adj"), F.coalesce("mu", F.lit(0.0)), ALPHA)).alias("p_form"))
 
 
+#: Strength of the batters' form.
+BATTER_ALPHA = 0.1
+
+
+def with_batter_form(rows: DataFrame, t: DataFrame) -> DataFrame:
+    """rows with adj, the batter's form; without trials before the period it is drawn to the pooled rate of all batters before it."""
+    state = S.prior_state(t, "b", "period", "nb", ["r_bsucc"])
+    pooled = state.groupBy("period").agg((F.sum("was_0.c_r_bsucc") / F.nullif(F.sum("was_0.n0"), F.lit(0.0))).alias("pooled")).withColumnRenamed("period", "pp")
+    rows = S.with_state(rows, state, "b", "period").join(F.broadcast(pooled), F.col("period") == F.col("pp"), "left")  # one row for each period
+    return rows.withColumn("adj", S.form_adjustment("nb", "r_bsucc", M, F.col("pooled"))[0]).drop("pp", "pooled", "was_0")
+
+
 def i10_pooled_form(spark: SparkSession, folder: str) -> DataFrame:
-    """Form adjustment of batters with a pooled rate for those without trials."""
+    """Form adjustment of batters with the pooled rate of earlier seasons for those without trials."""
     t = trials(spark, folder)
-    t = S.with_state(t, S.prior_state(t, "b", "period", "nb", ["r_bsucc"]), "b", "period")
-    return t.select(*KEY, r6(S.form_adjustment("nb", "r_bsucc", M, F.lit(0.5))[0]).alias("adj"))
+    return with_batter_form(t, t).select(*KEY, (r6("adj") + 0.0).alias("adj"))  # no minus zero
+
+
+def i11_batter_form(spark: SparkSession, folder: str) -> DataFrame:
+    """The blend moved by the batter's form, without centring."""
+    rows = with_batter_form(predictions(spark, folder), trials(spark, folder))
+    return rows.select(*KEY, r6(S.apply_form(F.col("p"), F.col("adj"), F.lit(0.0), BATTER_ALPHA)).alias("p_form"))
 
 
 def i29_transport(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,24 +141,25 @@ def _state_sql(e: str, n: str, rates: list[str], select: str, plus: str = "", y:
 
 
 _cur = lambda r, n="na": f"CASE WHEN {n} - n0_0 > 0 THEN (round_even({n} * coalesce({r}, 0), 0) - c_{r}_0) / ({n} - n0_0) END"
-_cells = [(f"c{b}{s}", f"balls = {b} AND strikes = {s}") for b in range(4) for s in range(3)] + [(f"h{x}{y}", f"ahand = {x} AND bhand = {y}") for x in (1, 2) for y in (1, 2)]
 _bound = lambda y: f"(SELECT a AS e, arg_max(na, na) AS n0, arg_max(round_even(na * coalesce(r_succ, 0), 0), na) AS c0 FROM t WHERE period < {y} GROUP BY a)"
 _adj = lambda n, r, p0: f"CASE WHEN {n} - n0_0 >= 0 THEN (round_even({n} * coalesce({r}, 0), 0) - c_{r}_0 + 75.0::DOUBLE * {p0}) / ({n} - n0_0 + 75.0::DOUBLE) - {p0} END"
 _FORM = f", k AS (SELECT *, na - n0_0 AS here, {_adj('na', 'r_succ', '(c_r_succ_0 / nullif(n0_0, 0))')} AS adj FROM j), m AS (SELECT period + 1 AS mp, avg(adj) AS mu FROM k WHERE here > 0 GROUP BY ALL)"
+_POOL = ", pl AS (SELECT lp, sum(c_r_bsucc_0) / nullif(sum(n0_0), 0) AS pooled FROM st GROUP BY lp)"
+_badj = _adj("nb", "r_bsucc", "coalesce(c_r_bsucc_0 / nullif(n0_0, 0), pooled)")
 SQL = {
     "i1_boundary": f"{TRIALS} SELECT a, arg_max(na, na)::DOUBLE AS n0, {', '.join(f'arg_max(round_even(na * coalesce({r}, 0), 0), na) AS c_{r}' for r in PRATES)} FROM t WHERE period < 2024 GROUP BY a",
     "i3_state": _state_sql("a", "na", PRATES, f"a, na, (na - n0_0)::DOUBLE AS n_season, {', '.join(f'round({_cur(r)}, 6) AS cur_{r[2:]}' for r in PRATES)}"),
     "i3_batter_state": _state_sql("b", "nb", ["r_bsucc"], f"a, na, (nb - n0_0)::DOUBLE AS n_season, round({_cur('r_bsucc', 'nb')}, 6) AS cur_bsucc"),
     "i4_exact": _state_sql("a", "na", PRATES, f"a, na, (na - n0_0)::DOUBLE AS n_season, round({_cur('r_succ')}, 6) AS cur_succ", " + 1", " + coalesce(y, 0)"),
     "i5_recent_form": _state_sql("a", "na", PRATES, f"a, na, round(r_prev5 - ({_cur('r_succ')}), 6) AS recent_form, {', '.join(f'round(({_cur(r)}) - {r}, 6) AS vs_career_{r[2:]}' for r in PRATES)}"),
-    "i7_gated": _state_sql("a", "na", PRATES, "a, na, " + ", ".join(f"CASE WHEN {c} THEN round({_cur('r_succ')}, 6) END AS {n}" for n, c in _cells)),
     "i8_windows": _state_sql("a", "na", ["r_succ"], "a, na, " + ", ".join(f"round(CASE WHEN n0_0 - n0_{w} > 0 THEN (c_r_succ_0 - c_r_succ_{w}) / (n0_0 - n0_{w}) END, 6) AS last_{w}" for w in (1, 2)), back=(0, 1, 2)),
     "i9_form": _state_sql("a", "na", ["r_succ"], "a, na, round(adj, 6) AS adj, round(least(greatest(p + 0.28::DOUBLE * coalesce(adj - coalesce(mu, 0), 0), 0), 1), 6) AS p_form", " + 1", " + coalesce(y, 0)", frm="pp", head=PRED, more=_FORM, source="k LEFT JOIN m ON m.mp = k.period"),
-    "i10_pooled_form": _state_sql("b", "nb", ["r_bsucc"], f"a, na, round({_adj('nb', 'r_bsucc', 'coalesce(c_r_bsucc_0 / nullif(n0_0, 0), 0.5)')}, 6) AS adj"),
+    "i10_pooled_form": _state_sql("b", "nb", ["r_bsucc"], f"a, na, round({_badj}, 6) + 0.0::DOUBLE AS adj", more=_POOL, source="j LEFT JOIN pl ON pl.lp = j.period"),
+    "i11_batter_form": _state_sql("b", "nb", ["r_bsucc"], f"a, na, round(least(greatest(p + 0.1::DOUBLE * coalesce({_badj}, 0), 0), 1), 6) AS p_form", frm="pp", head=PRED, more=_POOL, source="j LEFT JOIN pl ON pl.lp = j.period"),
     "i29_transport": f"{TRIALS} SELECT a, na, (n.n0 + na - o.n0)::DOUBLE AS n_new, round(CASE WHEN n.n0 + na - o.n0 > 0 THEN (n.c0 + round_even(na * coalesce(r_succ, 0), 0) - o.c0) / (n.n0 + na - o.n0) END, 6) AS rate_new FROM t JOIN {_bound(2023)} o ON o.e = a JOIN {_bound(2024)} n ON n.e = a WHERE period = 2023",
     "f5_extrapolate": f"{TRIALS}, m AS (SELECT period, avg(y) AS rate FROM t GROUP BY 1), d AS (SELECT *, rate - lag(rate) OVER (ORDER BY period) AS delta, lag(rate) OVER (ORDER BY period) AS prev FROM m) SELECT period, round(rate, 6) AS rate, round(delta, 6) AS delta, round(prev + coalesce(avg(delta) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS forecast FROM d",
     "f8_debut": f"{TRIALS}, f AS (SELECT a AS fa, min(period) AS first FROM t GROUP BY 1) SELECT period, sum((period = first)::BIGINT)::BIGINT AS debut_rows, count(*) AS n_rows FROM t JOIN f ON fa = a GROUP BY 1",
     "f1_last_first": f"{TRIALS}, k AS (SELECT *, max(nb) OVER (PARTITION BY b) AS top FROM t WHERE b IS NOT NULL), o AS (SELECT b, nb, a, na, row_number() OVER (PARTITION BY b ORDER BY a, na) AS lo, row_number() OVER (PARTITION BY b ORDER BY a DESC, na DESC) AS hi FROM k WHERE nb = top) SELECT x.b, x.nb, x.a AS first_a, x.na AS first_na, z.a AS last_a, z.na AS last_na FROM o x JOIN o z ON z.b = x.b AND x.lo = 1 AND z.hi = 1",
     "f9_worst_tenth": f"{PRED}, e AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY round((p - y) * (p - y), 6) DESC, a, na) AS rk, count(*) OVER (PARTITION BY period) AS n FROM pp) SELECT a, na, period FROM e WHERE rk <= n // 10",
 }
-QUERIES = {f.__name__: f for f in (i1_boundary, i3_state, i3_batter_state, i4_exact, i5_recent_form, i7_gated, i8_windows, i9_form, i10_pooled_form, i29_transport, f5_extrapolate, f8_debut, f1_last_first, f9_worst_tenth)}
+QUERIES = {f.__name__: f for f in (i1_boundary, i3_state, i3_batter_state, i4_exact, i5_recent_form, i8_windows, i9_form, i10_pooled_form, i11_batter_form, i29_transport, f5_extrapolate, f8_debut, f1_last_first, f9_worst_tenth)}

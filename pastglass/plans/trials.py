@@ -15,7 +15,7 @@ from pastglass.sources.tables import table
 
 RATES = {
     "r_succ": "asof_pitcher_success_rate", "r_mid": "asof_pitcher_middle_rate", "r_ball": "asof_pitcher_ball_rate", "r_strk": "asof_pitcher_strike_rate", "r_rev": "asof_pitcher_reverse_rate",
-    "r_prev1": "asof_pitcher_prev1_game_success_rate", "r_prev3": "asof_pitcher_prev3_game_success_rate", "r_prev5": "asof_pitcher_prev5_game_success_rate", "r_bsucc": "asof_batter_success_rate",
+    "r_prev1": "asof_pitcher_prev1_game_success_rate", "r_prev3": "asof_pitcher_prev3_game_success_rate", "r_prev5": "asof_pitcher_prev5_game_success_rate", "r_bsucc": "asof_batter_success_rate", "r_bmid": "asof_batter_middle_rate",
     "r_fast": "asof_pitcher_fastball_rate", "r_brk": "asof_pitcher_breaking_rate", "r_off": "asof_pitcher_offspeed_rate",
 }
 PLAIN = {

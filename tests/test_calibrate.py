@@ -24,3 +24,31 @@ def test_finds_optima_of_the_whole_grid_and_flags_its_edge(spark):
     for part, (loss, scale, bias) in want.items():
         assert abs(got[part]["scale"] - scale) < 1e-6 and abs(got[part]["bias"] - bias) < 1e-6 and abs(got[part]["loss"] - loss) < 1e-9
     assert {k for k, r in got.items() if r["edge"]} == {4, 5}
+
+
+def test_level_shift_is_exact_and_by_part(spark):
+    import numpy as np
+    from pastglass.operators.calibrate import level_shift
+
+    rng = np.random.default_rng(7)
+    rows = [(part, float(p), int(rng.random() < q)) for part, q in ((1, 0.7), (2, 0.2)) for p in rng.uniform(0.02, 0.98, 700)]
+    got = {r["part"]: r["shift"] for r in level_shift(spark.createDataFrame(rows, "part long, p double, y long"), ["part"], "p", "y").collect()}
+    for part in (1, 2):
+        z = np.array([np.log(p / (1 - p)) for k, p, _ in rows if k == part])
+        lo, hi, want = -8.0, 8.0, np.mean([y for k, _, y in rows if k == part])
+        for _ in range(80):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (1 / (1 + np.exp(-(z + mid)))).mean() < want else (lo, mid)
+        assert abs(got[part] - lo) < 1e-9
+    assert level_shift(spark.createDataFrame([], "part long, p double, y long"), ["part"], "p", "y").count() == 0
+
+
+def test_convex_guards(spark):
+    import pytest
+    from pastglass.operators.calibrate import convex
+
+    df = spark.createDataFrame([(0.5, 0.1), (float("nan"), 0.1), (None, 0.2), (0.2, float("inf"))], "p double, q double")
+    assert [r[0] for r in df.select(convex({"p": 0.5, "q": 0.5})).collect()] == [0.3, None, None, None]
+    for bad in ({"p": 0.5}, {"p": 1.5, "q": -0.5}, {"p": float("nan"), "q": 1.0}):
+        with pytest.raises(ValueError):
+            convex(bad)

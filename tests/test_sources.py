@@ -62,3 +62,43 @@ def test_queries_equal_their_sql_on_the_smallest_tables(spark):
         assert sorted(cols) == sorted(df.columns), name
         want = sorted(tuple(as_text(v) for v in r) for r in cur.fetchall())
         assert sorted(tuple(as_text(v) for v in r) for r in df.select(*cols).collect()) == want, name
+
+
+def test_lookups_sinks_and_cache(spark, tmp_path):
+    import pytest
+    from pastglass.sources.tables import cached, head_rows, read_lookup, stored, write_csv, write_verdict
+
+    df = spark.range(7).selectExpr("id AS k", "id * 0.5 AS v")
+    df.write.json(f"{tmp_path}/t")
+    assert read_lookup(spark, f"{tmp_path}/t", "k long, v double", ["k"]).count() == 7
+    df.union(df.limit(1)).write.json(f"{tmp_path}/twice")
+    with pytest.raises(ValueError):
+        read_lookup(spark, f"{tmp_path}/twice", "k long, v double", ["k"])
+    write_csv(df, f"{tmp_path}/c")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/c").count() == 7 and head_rows(df, 3).count() == 3
+    assert write_verdict(df.limit(1), f"{tmp_path}/v") == {"k": 0, "v": 0.0} and spark.read.json(f"{tmp_path}/v").count() == 1
+    for rows in (df, df.limit(0)):
+        with pytest.raises(ValueError):
+            write_verdict(rows, f"{tmp_path}/v")
+    calls = []
+    make = lambda: calls.append(1) or df
+    for _ in range(2):
+        assert cached(make, spark, f"{tmp_path}/cache", 7).count() == 7
+    assert len(calls) == 1
+    with pytest.raises(ValueError):
+        cached(make, spark, f"{tmp_path}/cache", 8)
+    assert spark.read.parquet(f"{tmp_path}/cache").count() == 7 and stored(df).count() == 7
+
+
+def test_steps_are_switched_by_name(spark):
+    import pytest
+    from pastglass.plans.chain import run
+    from pyspark.sql import functions as F
+
+    full = spark.createDataFrame([(1, 0.4), (2, 0.5), (2, None)], "period long, p double")
+    seen = []
+    steps = {"up": lambda rows, past, s: seen.append([r["period"] for r in past.collect()]) or rows.withColumn("p_out", F.col("p_out") + 1), "twice": lambda rows, past, s: rows.withColumn("p_out", F.col("p_out") * 2)}
+    assert [r["p_out"] for r in run(full, 2, steps).collect()] == [3.0] and seen == [[1]]
+    assert [r["p_out"] for r in run(full, 2, steps, frozenset(["up"])).collect()] == [1.0]
+    with pytest.raises(ValueError):
+        run(full, 2, steps, frozenset(["none"]))
