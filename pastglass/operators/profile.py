@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
-#: Order-preserving blocks for each power of two.
-PER_OCTAVE = 64
+#: Blocks for each power of two are as many as let a load of all rows within one power of two have blocks of this size.
+ROWS_A_BLOCK = 300_000
 
 
 def value_counts(rows: DataFrame, load: list[str], columns: list[str]) -> DataFrame:
@@ -40,7 +42,7 @@ def usable(ranges: dict[str, tuple[float | None, float | None]]) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def place(v: Column, per_octave: int = PER_OCTAVE) -> Column:
+def place(v: Column, per_octave: int = 256) -> Column:
     """An order-preserving block number of a finite double: so many blocks for each power of two, either sign, and zero.
 
     Equal values share a block, whatever the data. Infinities and NaN come last of all.
@@ -65,7 +67,7 @@ def summary(counts: DataFrame, load: list[str], patterns: dict[str, str]) -> Dat
     )
 
 
-def against_before(counts: DataFrame, feed: str, number: str) -> DataFrame:
+def against_before(counts: DataFrame, feed: str, number: str, per_octave: int) -> DataFrame:
     """One row per (feed, number, column): the loads' distributions against those of number - 1 of the feed.
 
     Every count goes to its own load and, as "before", to the next, so loads meet by grouping and not by a join. ks
@@ -78,8 +80,8 @@ def against_before(counts: DataFrame, feed: str, number: str) -> DataFrame:
     sides = F.array(F.struct(F.lit(0).alias("d"), F.col("cnt").alias("c"), F.lit(0).cast("long").alias("p")), F.struct(F.lit(1).alias("d"), F.lit(0).cast("long").alias("c"), F.col("cnt").alias("p")))
     # The condition hangs on the count, so it stays above the counting and both uses of the counts share one exchange.
     given = counts.filter((F.when(F.col("ok") | F.col("txt").isNotNull(), F.col("cnt")) > 0) & F.col(feed).isNotNull() & F.col(number).isNotNull())
-    text_block = -(1 << 40) - F.pmod(F.xxhash64("txt"), F.lit(8 * PER_OCTAVE))
-    given = given.withColumn("__blk", F.when(F.col("txt").isNull(), place(F.col("num"))).otherwise(text_block))
+    text_block = -(1 << 40) - F.pmod(F.xxhash64("txt"), F.lit(8 * per_octave))
+    given = given.withColumn("__blk", F.when(F.col("txt").isNull(), place(F.col("num"), per_octave)).otherwise(text_block))
     key, place_key = [feed, number, "column_name"], [feed, "column_name", "__blk"]
     given = given.select(*key, "num", "txt", "cnt", "__blk").repartition(*[F.col(k) for k in place_key])
     both = given.select(*key, "num", "txt", "__blk", F.explode(sides).alias("__s")).withColumn(number, F.col(number) + F.col("__s.d"))
@@ -110,9 +112,10 @@ def profile(rows: DataFrame, *, load: str, feed: str, number: str, columns: list
     stand. Empty input gives no rows; a null load, feed or number is a value like any other, without a load before.
     """
     key = [load, feed, number]
+    per_octave = min(1 << 20, math.ceil((rows.count() + 1) / ROWS_A_BLOCK))  # of parquet, from its footers
     counts = value_counts(rows, key, columns).withColumn("ok", usable(ranges or {}))
     own = summary(counts, key, patterns or {})
-    change = against_before(counts, feed, number).select(F.col(feed).alias("__f2"), F.col(number).alias("__n2"), F.col("column_name").alias("__c2"), "ks_before", "psi_before", "chi2_before")
+    change = against_before(counts, feed, number, per_octave).select(F.col(feed).alias("__f2"), F.col(number).alias("__n2"), F.col("column_name").alias("__c2"), "ks_before", "psi_before", "chi2_before")
     line = Window.partitionBy(feed, "column_name").orderBy(number)  # over a feed's loads, not their rows
     out = own.withColumn("null_share", F.col("n_null") / F.col("n_rows"))
     out = out.withColumn("null_share_before", F.when(F.lag(number).over(line) == F.col(number) - 1, F.lag("null_share").over(line)))
