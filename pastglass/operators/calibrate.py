@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pastglass.functions.scalars import clip, recalibrate, sigmoid
+from pastglass.sources.tables import cut
 
 #: First grid of scales and biases, the fine steps around its best point, and how many of these to either side.
 SCALES, BIASES = [round(0.2 + 0.05 * i, 4) for i in range(37)], [round(-0.3 + 0.025 * i, 4) for i in range(25)]
@@ -115,6 +116,7 @@ def level_shift(rows: DataFrame, part: list[str], p: str, y: str, target: str |
     z = F.ln(clip(F.col(p), 1e-6, 1 - 1e-6) / (1 - clip(F.col(p), 1e-6, 1 - 1e-6)))
     goal = F.max(target) if target else F.sum("__s") / F.sum("__n")
     cells = rows.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*part, p, *([target] if target else [])).agg(F.count("*").alias("__n"), F.sum(y).alias("__s")).withColumn("__z", z)
+    cells = cut(cells)  # read in every round
     bracket = cells.groupBy(*part).agg(goal.alias("__t"), F.sum("__n").alias("__all")).withColumn("__lo", F.lit(-reach)).withColumn("__hi", F.lit(reach))
     for _ in range(rounds):
         b = bracket.select(*_keys(part), "__t", "__all", "__lo", "__hi")

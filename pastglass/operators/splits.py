@@ -10,10 +10,10 @@ from pastglass.sources.tables import cut
 #: A band of at least this many roots is dealt systematically; the roots of the others, less than this for each of at
 #: most 65 bands, go one by one.
 BAND = 20
-#: Typical roots of a band in one turn of the systematic deal.
-TURN = 10
-#: Within a band roots are ordered by size, in as many levels, and then by their hash, in as many blocks.
-LEVELS, BLOCKS = 16, 512
+#: Typical roots of a band in one turn of the systematic deal. Each end of a part is off by half a root or so.
+TURN = 50
+#: Blocks of the order of the hash within a band.
+BLOCKS = 4096
 
 
 def _halves(edges: DataFrame) -> DataFrame:
@@ -75,21 +75,19 @@ def spanning_forest(links: DataFrame, a: str, b: str, edge_id: str, weight: str
 def deal(sizes: DataFrame, shares: dict[str, float], seed: int = 7) -> DataFrame:
     """(root, size) -> (root, size, band, split), splits having the given shares of the total size, about.
 
-    Roots are stratified by band (the power of two of their size). Bands are laid on one line, the largest first, in each
-    the roots by size and hash, each root as long as the share of a turn that its size is of TURN typical roots of the
-    band; turns are a whole number, and each has a part for every split. A root goes to the split in whose part of a
-    turn its middle lies: every band is spread evenly over the splits, and what is left over of a turn goes on in the
-    next band. Bands of less than BAND roots have no whole turns: their roots (a bounded number, among them any that
+    Roots are stratified by band (the power of two of their size). The roots of a band lie on a line by their hash, each
+    as long as its size; the line is cut into a whole number of turns, of about TURN typical roots, and each turn, from a
+    place of its own by a hash, has a part for every split. A root goes to the split in whose part its middle lies, so every band is spread over the
+    splits, off by half a root or so for each end of a part. Bands of less than BAND roots have no whole turns: their roots (a bounded number, among them any that
     outweighs all others) go one by one beforehand, largest first, to the split that lacks most, and the parts of a turn
-    are made for what these left of each share. Running sums go over bands, then blocks, then within a block. Sizes of
+    are made for what these left of each share. Running sums go over blocks, then within a block. Sizes of
     null or zero count as zero, weigh nothing, and are dealt by their hash.
     """
     names, seeded = list(shares), F.xxhash64("root", F.lit(seed))
     rows = sizes.select("root", F.coalesce("size", F.lit(0)).cast("long").alias("size")).withColumn("__h", seeded).withColumn("band", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size") + 0.5)).cast("int")).otherwise(-1))
     unit = F.pow(F.lit(2.0), F.col("band"))
     rows = rows.withColumn("__len", F.when(F.col("size") > 0, F.col("size") / (unit * 1.5 * TURN)).otherwise(0.0))
-    level = F.when(F.col("size") > 0, F.least(F.floor((F.col("size") / unit - 1) * LEVELS), F.lit(LEVELS - 1))).otherwise(0)
-    rows = cut(rows.withColumn("__b", (level * BLOCKS + F.pmod("__h", F.lit(BLOCKS))).cast("int")))
+    rows = cut(rows.withColumn("__b", F.pmod("__h", F.lit(BLOCKS)).cast("int")))
     blocks = cut(rows.groupBy("band", "__b").agg(F.count("*").alias("__n"), F.sum("size").alias("__s"), F.sum("__len").alias("__l")))
     bands = blocks.groupBy("band").agg(F.sum("__n").alias("__n"), F.sum("__s").alias("__s"), F.sum("__l").alias("__l"))
     single = (F.col("__n") < BAND) & (F.col("band") >= 0)
@@ -112,18 +110,16 @@ def deal(sizes: DataFrame, shares: dict[str, float], seed: int = 7) -> DataFrame
     need = F.transform(F.zip_with(targets, F.col("d.got"), lambda t, g: t * F.col("__total") - g), lambda v: F.greatest(v, F.lit(0.0)))
     left = dealt.select(need.alias("__need")).withColumn("__sum", F.aggregate("__need", F.lit(0.0), lambda s, v: s + v))
     left = left.select(F.when(F.col("__sum") > 0, F.transform("__need", lambda v: v / F.col("__sum"))).otherwise(targets).alias("__q"))
-    # Where each band, and then each block of it, begins on the line, in turns.
-    ahead = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)  # one row a band
-    many = bands.filter(~single)
-    starts = many.select(F.col("band").alias("__band"), F.coalesce(F.sum("__l").over(ahead), F.lit(0.0)).alias("__from")).crossJoin(F.broadcast(many.agg(F.coalesce(F.sum("__l"), F.lit(0.0)).alias("__whole"))))  # one row
-    within = Window.partitionBy("band").orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
-    places = blocks.join(F.broadcast(starts), F.col("band") == F.col("__band")).select("__band", F.col("__b").alias("__k"), (F.col("__from") + F.coalesce(F.sum("__l").over(within), F.lit(0.0))).alias("__base"), "__whole")
-    inner = Window.partitionBy("band", "__b").orderBy(F.desc("size"), "__h", "root").rowsBetween(Window.unboundedPreceding, 0)
+    # Where each block begins on its band's line, in turns.
+    within = Window.partitionBy("band").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    places = blocks.join(F.broadcast(few), F.col("band") == F.col("__few"), "left_anti").select(F.col("band").alias("__band"), F.col("__b").alias("__k"), F.coalesce(F.sum("__l").over(within), F.lit(0.0)).alias("__base"), F.sum("__l").over(Window.partitionBy("band")).alias("__whole"))
+    inner = Window.partitionBy("band", "__b").orderBy("__h", "root").rowsBetween(Window.unboundedPreceding, 0)
     tail = rows.join(F.broadcast(few), F.col("band") == F.col("__few"), "left_anti")
     tail = tail.withColumn("__in", F.sum("__len").over(inner)).join(places, (F.col("band") == F.col("__band")) & (F.col("__b") == F.col("__k"))).crossJoin(F.broadcast(left))  # one row
     turns = F.greatest(F.lit(1.0), F.round("__whole")) / F.greatest(F.col("__whole"), F.lit(1e-9))
     mid = (F.col("__base") + F.col("__in") - F.col("__len") / 2) * turns
-    tail = tail.withColumn("__ph", F.when(F.col("size") > 0, mid - F.floor(mid)).otherwise(F.pmod("__h", F.lit(10000)) / 10000))
+    start = F.pmod(F.xxhash64("band", F.floor(mid), F.lit(seed)), F.lit(10000)) / 10000  # of each turn, lest equal sizes meet the parts alike in all
+    tail = tail.withColumn("__ph", F.when(F.col("size") > 0, F.pmod(mid + start, F.lit(1.0))).otherwise(F.pmod("__h", F.lit(10000)) / 10000))
     split, upto = F.lit(None).cast("string"), F.lit(0.0)
     for i, n in enumerate(names):
         upto = upto + F.col("__q")[i]

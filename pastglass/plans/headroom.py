@@ -15,7 +15,7 @@ from pastglass.plans.rowlocal import KEY, r6
 from pastglass.plans.scores import _rc, fit_sql
 from pastglass.plans.splitting import number_of
 from pastglass.plans.trials import PRED, before, predictions, trials
-from pastglass.sources.tables import table
+from pastglass.sources.tables import stored, table
 
 #: Candidates beside the blend p, as expressions over its members that are the same in Spark and in SQL.
 CANDIDATES = {"p": "p", "p1": "p1", "p2": "p2", "even": "(p1 + p2) / 2", "bold": "p + 0.5 * (p2 - p1)"}
@@ -78,9 +78,10 @@ def k21_disagreement(spark: SparkSession, folder: str) -> DataFrame:
 
 def k25_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Seven overlapping kinds of error in 2022 and 2024 with their parts of all error; the parts don't add up to one."""
-    pr = with_entropy(members(spark, folder), trials(spark, folder)).filter(F.col("period").isin(*BOTH))
+    pr = stored(with_entropy(members(spark, folder), trials(spark, folder)).filter(F.col("period").isin(*BOTH)))
     frame = framed(spark, folder).filter(F.col("period").isin(*BOTH)).select(F.col("a").alias("fa"), F.col("na").alias("fn"), "game_type", "count_family", "matchup_novelty", "pitcher_history", "batter_history")
     pr = pr.join(frame, (F.col("a") == F.col("fa")) & (F.col("na") == F.col("fn"))).drop("fa", "fn")
+    pr = stored(pr)  # read six times
     x, z = (F.col(f"`{s}`") for s in BOTH)
     cells = pr.groupBy("game_type", "count_family").pivot("period", list(BOTH)).agg(F.avg(F.col("y") - F.col("p")))
     stable = cells.select(F.col("game_type").alias("sg"), F.col("count_family").alias("sf"), ((F.signum(x) == F.signum(z)) & (F.abs(x) >= 0.005) & (F.abs(z) >= 0.005)).alias("level"))

@@ -10,7 +10,7 @@ from pastglass.operators.deliveries import latest
 from pastglass.operators.profile import quantiles
 from pastglass.plans.rowlocal import r6
 from pastglass.plans.trials import BLOCK
-from pastglass.sources.tables import table
+from pastglass.sources.tables import cut, table
 
 PAIRS = [(2022, 2023), (2023, 2024), (2022, 2024)]
 #: A column of numbers is numeric with more distinct values than this, else categorical.
@@ -51,7 +51,7 @@ KEYS = ["feature", "from_season", "to_season"]
 
 def numeric_shift(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each numeric column and pair: ks, psi, means, medians and missing shares."""
-    both = paired(cells(spark, folder).filter("numeric"))
+    both = cut(paired(cells(spark, folder).filter("numeric")))  # counts of values, read five times
     given = both.filter("num IS NOT NULL")
     out = M.two_sample_ks(given, KEYS, "num", "l", "r").join(M.stability_index(given, KEYS, "num", "l", "r"), KEYS)
     for side, name in (("l", "from"), ("r", "to")):
@@ -63,7 +63,7 @@ def numeric_shift(spark: SparkSession, folder: str) -> DataFrame:
 
 def categorical_shift(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each other column and pair: divergence, top category and unseen share; missing is a category."""
-    both = paired(cells(spark, folder).filter("NOT numeric"))
+    both = cut(paired(cells(spark, folder).filter("NOT numeric")))
     return M.divergence(both, KEYS, "name", "l", "r")
 
 
@@ -74,7 +74,7 @@ def k12_ks(spark: SparkSession, folder: str) -> DataFrame:
 
 def k13_psi(spark: SparkSession, folder: str) -> DataFrame:
     """Population stability index of every numeric column for every pair of seasons."""
-    given = paired(cells(spark, folder).filter("numeric")).filter("num IS NOT NULL")
+    given = cut(paired(cells(spark, folder).filter("numeric")).filter("num IS NOT NULL"))
     return M.stability_index(given, KEYS, "num", "l", "r").select(*KEYS, r6("psi").alias("psi"))
 
 
