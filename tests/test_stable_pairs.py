@@ -1,13 +1,13 @@
-from pastglass.plans import shifts
+from pastglass.plans import mining
 
 
-def test_pairs_of_all_axes_from_one_percent(spark, monkeypatch):
-    base = {"seg": "R", "side": "T", "balls": 0, "strikes": 0, "outs": 0, "bhand": 1, "runners": 0}
-    rows = []
-    for period in (2023, 2024):
-        rows += [(period, *base.values(), 0.5, 1.0)] * 985 + [(period, *(base | {"bhand": 2, "runners": 3}).values(), 0.1, 1.0)] * 15
-    pr = spark.createDataFrame(rows, "period int, seg string, side string, balls int, strikes int, outs int, bhand int, runners int, p double, y double")
-    monkeypatch.setattr(shifts, "predictions", lambda spark, folder: pr)
-    got = {(r["axis"], r["value"]): r["score"] for r in shifts.k28_stable(spark, "").collect()}
-    assert ("bhand*runners", "2*3") in got and len(got) == 10
-    assert abs(got["bhand*runners", "2*3"] - (0.81 - (0.81 * 15 + 0.25 * 985) / 1000)) < 1e-6
+def test_pairs_from_one_percent_in_both_seasons(spark):
+    base = {a: "x" for a in mining.AXES}
+    odd = base | {"game_type": "F", "pitcher_history": "0"}
+    rows = [(s, *v.values(), p, 1.0, (p - 1) ** 2) for s in mining.BOTH for v, p, n in ((base, 0.5, 985), (odd, 0.1, 15)) for _ in range(n)]
+    df = spark.createDataFrame(rows, f"period int, {', '.join(f'{a} string' for a in mining.AXES)}, p double, y double, err double")
+    single, pairs = mining.judged(df)
+    assert single.count() == 0
+    got = {(r["axis"], r["value"]): r for r in pairs.collect()}
+    r = got["game_type*pitcher_history", "F*0"]
+    assert abs(r["score"] - (0.81 - (0.81 * 15 + 0.25 * 985) / 1000)) < 1e-6 and r["same"] and r["adds"] and r["parent"] is None
