@@ -107,7 +107,8 @@ def k42_sweep(spark: SparkSession, folder: str) -> DataFrame:
     shrunk = {f"k{int(k)}": F.round((F.col("na") * F.coalesce("r_succ", F.lit(0.5)) + k * 0.5) / (F.col("na") + k), 9) for k in WEIGHTS}
     pr = pr.select("p", "y", *[v.alias(n) for n, v in shrunk.items()])
     pr = pr.crossJoin(F.broadcast(edges_of(pr, list(shrunk), [i / 5 for i in range(6)])))  # one row
-    each = F.array(*[F.struct(F.lit(k).alias("k"), F.greatest(F.size(F.filter(F.array_distinct(f"k{int(k)}_q"), lambda e, c=f"k{int(k)}": e < F.col(c))) - 1, F.lit(0)).alias("fifth")) for k in WEIGHTS])
+    above = lambda name: F.size(F.filter(F.array_distinct(f"{name}_q"), lambda e: e < F.col(name)))
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.greatest(above(f"k{int(k)}") - 1, F.lit(0)).alias("fifth")) for k in WEIGHTS])
     cells = pr.select("p", "y", F.explode(each).alias("x")).groupBy("x.k", "x.fifth").agg(F.count("*").alias("n"), F.avg(F.col("y") - F.col("p")).alias("residual"))
     w = Window.partitionBy("k")  # five rows
     return cells.select("k", "fifth", "n", r6("residual").alias("residual"), r6(F.max("residual").over(w) - F.min("residual").over(w)).alias("spread"))
