@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Blocks of tied rows, and of rows that are resampled together.
-TIES, DRAWS = 1024, 4096
+from pastglass.sources.tables import cut
+
+#: Blocks of rows that are resampled together.
+DRAWS = 4096
 
 
 def masked(rows: DataFrame, masks: dict[str, Column], out: str = "mask") -> DataFrame:
@@ -16,26 +18,21 @@ def masked(rows: DataFrame, masks: dict[str, Column], out: str = "mask") -> Data
 
 
 def top_fraction(rows: DataFrame, part: str, value: str, keys: list[str], per: int) -> DataFrame:
-    """The floor(n / per) rows of each part with the greatest value, ties by keys.
+    """The floor(n / per) rows of each part with the greatest value, ties in the order of keys.
 
-    The cut is found on counts of distinct values, so a part is never sorted as rows; the rows at the cut value are
-    ranked in blocks of a hash of their keys, and the blocks in turn, so a common value is spread over many tasks: of
-    equal rows those of the first blocks are taken. Values should be rounded, which bounds the distinct ones. Null
-    values come last.
+    Rows go once to ranges of the order (part, value, keys), and the rows of each part in each range are counted. Only
+    the range in which a part's cut falls is sorted: no part is sorted as a whole, and a common value is spread over
+    ranges by its keys. Nulls come last, in values and in keys.
     """
-    counts = rows.groupBy(part, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(part)
-    down = w.orderBy(F.col(value).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("__upto", F.sum("__n").over(down)).withColumn("__k", F.floor(F.sum("__n").over(w) / per))
-    keep = counts.filter(F.col("__upto") - F.col("__n") < F.col("__k")).select(F.col(part).alias("__part"), F.col(value).alias("__v"), (F.col("__k") - (F.col("__upto") - F.col("__n"))).alias("__left"), (F.col("__upto") <= F.col("__k")).alias("__all"))
-    met = rows.join(keep, F.col(part).eqNullSafe(F.col("__part")) & F.col(value).eqNullSafe(F.col("__v")))
-    tied = met.filter(~F.col("__all")).withColumn("__h", F.pmod(F.xxhash64(*keys), F.lit(TIES)))
-    blocks = tied.groupBy(part, "__h").agg(F.count("*").alias("__bn"))
-    base = F.coalesce(F.sum("__bn").over(w.orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select(F.col(part).alias("__bp"), F.col("__h").alias("__bh"), base.alias("__base"))
-    ranked = tied.join(blocks, F.col(part).eqNullSafe(F.col("__bp")) & (F.col("__h") == F.col("__bh")))
-    ranked = ranked.withColumn("__rn", F.col("__base") + F.row_number().over(Window.partitionBy(part, "__h").orderBy(*keys))).filter("__rn <= __left")
-    return met.filter("__all").unionByName(ranked.drop("__rn", "__h", "__bp", "__bh", "__base")).drop("__part", "__v", "__left", "__all")
+    order = [F.col(value).desc_nulls_last(), *[F.col(k).asc_nulls_last() for k in keys]]
+    ranged = cut(rows.repartitionByRange(F.col(part), *order).withColumn("__r", F.spark_partition_id()))  # read twice
+    sizes = ranged.groupBy(part, "__r").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(part)  # over a part's ranges
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col(part).alias("__part"), F.col("__r").alias("__range"), "__n", (F.floor(F.sum("__n").over(w) / per) - before).alias("__left")).filter("__left > 0")
+    met = ranged.join(sizes, F.col(part).eqNullSafe(F.col("__part")) & (F.col("__r") == F.col("__range")))
+    ranked = met.filter("__n > __left").withColumn("__rn", F.row_number().over(Window.partitionBy(part, "__r").orderBy(*order))).filter("__rn <= __left")
+    return met.filter("__n <= __left").unionByName(ranked.drop("__rn")).drop("__r", "__part", "__range", "__n", "__left")
 
 
 def scan(rows: DataFrame, axes: list[str], sums: dict[str, Column], period: str, pairs: bool | list[tuple[str, str]] = False) -> DataFrame:

@@ -126,7 +126,7 @@ def f1_last_first(spark: SparkSession, folder: str) -> DataFrame:
 def f9_worst_tenth(spark: SparkSession, folder: str) -> DataFrame:
     """The tenth of each season's predictions with the greatest error, ties by key."""
     pr = predictions(spark, folder).withColumn("err", r6((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))))
-    return top_fraction(pr, "period", "err", KEY, 10).select(*KEY, "period")
+    return top_fraction(pr.select(*KEY, "period", "err"), "period", "err", KEY, 10).drop("err")
 
 
 _ST = lambda e, n, rates, plus="", y="": f"""
